@@ -188,3 +188,33 @@ def components(edges: DataFrame) -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file. LEXILOOM_TOKENIZERS names the folder; it is never copied."""
     return os.path.join(os.environ.get("LEXILOOM_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def runs(batches, keys: list[str], most: int = 0):
+    """Tables of the rows that share all ``keys``, of batches sorted by them; a run may span batches.
+
+    With ``most``, a longer run comes in consecutive tables of about so many rows.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts = []
+        for k in keys:
+            c = b.column(k)
+            x = c.fill_null(-1).to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else np.array(c.to_pylist(), object)
+            parts.append(x)
+        change = np.zeros(b.num_rows, bool)
+        for x in parts:
+            change[1:] |= x[1:] != x[:-1]
+        cut = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for s, e in zip(cut[:-1], cut[1:]):
+            key = tuple(x[s] for x in parts)
+            if held and (key != last or most and sum(h.num_rows for h in held) >= most):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)

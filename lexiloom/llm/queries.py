@@ -6,41 +6,108 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import ngram_join, packing, quality, toxicity
-from lexiloom.llm.common import table
+from lexiloom.llm import bpe, chat, embedding_dedup, media, ngram_join, packing, quality, token_files, toxicity, warc
+from lexiloom.llm.common import scratch, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write(table(spark, sf_dir, "documents"), scratch(spark, "token-files"))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), check=True)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "toxicity_score", "toxicity_reject")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.verify_archive(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(spark, docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "quality_score", "quality_keep")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.deduplicated(table(spark, sf_dir, "pages"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+#: Records, offsets and three levels of range hashes, as warc.py defines them.
+_WARC = r"""
+WITH body AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none')
+    || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(regexp_replace(url, '[\r\n]', ' ', 'g'), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS r
+  FROM pages),
+rec AS (SELECT page_id, url, CAST(strlen(r) AS BIGINT) AS length, sha256(r) AS digest, CAST(coalesce(page_id // 4096, -1) AS BIGINT) AS volume FROM body),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM rec WINDOW w AS (PARTITION BY volume ORDER BY page_id NULLS FIRST, url, digest, length)),
+l1 AS (SELECT volume, seq // 16 AS node, min("offset") AS o, sum(length) AS l, sha256(string_agg("offset" || ':' || length || ':' || digest, chr(10) ORDER BY seq)) AS d FROM placed GROUP BY ALL),
+l2 AS (SELECT volume, node // 16 AS node, min(o) AS o, sum(l) AS l, sha256(string_agg(o || ':' || l || ':' || d, chr(10) ORDER BY node)) AS d FROM (SELECT volume, node, o, l, d FROM l1) s(volume, node, o, l, d) GROUP BY volume, s.node // 16),
+l3 AS (SELECT volume, sha256(string_agg(o || ':' || l || ':' || d, chr(10) ORDER BY node)) AS volume_digest FROM l2 GROUP BY volume)
+SELECT page_id, volume, CAST(seq AS INTEGER) AS seq, "offset", length, digest, volume_digest, 'ok' AS status FROM placed JOIN l3 USING (volume)
+"""
+
+#: All pairs by exact cosine.
+_EMBEDDINGS = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM e)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS cosine
+FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+"""
+
+#: Distinct word bigrams (the whole text where it has one word), and all pairs that share any.
+_NGRAMS = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x20\x7f]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS overlap FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a AS doc_id_a, b AS doc_id_b, CAST(overlap AS INTEGER) AS overlap, CAST(x.n AS INTEGER) AS size_a, CAST(y.n AS INTEGER) AS size_b, round(overlap / (x.n + y.n - overlap), 6) AS jaccard
+FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE overlap >= 0.55 * (x.n + y.n - overlap)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
         "op1_packing": op1_packing,
+        "op2_token_files": op2_token_files,
+        "op3_bpe": op3_bpe,
         "op4_toxicity": op4_toxicity,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_ngram_join": op6_ngram_join,
+        "op7_warc": op7_warc,
         "op8_quality": op8_quality,
+        "op9_media": op9_media,
+        "op10_chat": op10_chat,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_embedding_dedup": _EMBEDDINGS, "op6_ngram_join": _NGRAMS, "op7_warc": _WARC}
