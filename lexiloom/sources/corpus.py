@@ -39,15 +39,22 @@ def annotate(surface: Column) -> dict[str, Column]:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, idx, surface, pos1, pos2, infl) of every line of every text; lines without a token give none."""
+    """(doc_id, line_no, idx, surface, pos1, pos2, infl, chunk_ref) of every line of every text; lines without a token give none.
+
+    Nothing moves: lines and words are taken apart where the text is read, and ``chunk_ref``, whether a token begins a
+    phrase (first, or after a particle or special), looks at the word before it in the line's own array.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     words = F.filter(F.split(F.regexp_replace("line", "([,.()])", " $1 "), " ", -1), lambda x: x != "")
-    own = lines.select("doc_id", "line_no", F.posexplode(words).alias("idx", "surface"))
-    return own.select("*", *(c.alias(k) for k, c in annotate(F.col("surface")).items()))
+    own = lines.select("doc_id", "line_no", words.alias("w"))
+    pairs = F.arrays_zip(F.col("w"), F.concat(F.array(F.lit(",")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("before"))
+    own = own.where(F.size("w") > 0).select("doc_id", "line_no", F.posexplode(pairs).alias("idx", "t"))
+    own = own.select("doc_id", "line_no", "idx", F.col("t.w").alias("surface"), F.col("t.before").alias("_before"))
+    return own.select("doc_id", "line_no", "idx", "surface", *(c.alias(k) for k, c in annotate(F.col("surface")).items()), F.col("_before").isin(*SPECIALS, *PARTICLES).alias("chunk_ref"))
 
 
 def gold_chunks(morphs: DataFrame) -> DataFrame:
-    """Adds ``chunk_ref``: whether a token begins a phrase, which it does first and after particles and specials."""
+    """Sets ``chunk_ref`` from ``pos1`` alone: a token begins a phrase first and after particles and specials."""
     w = Window.partitionBy(*SENTENCE).orderBy("idx")
     return morphs.withColumn("chunk_ref", F.coalesce(F.lag("pos1").over(w).isin("PARTICLE", "SPECIAL"), F.lit(True)))
 
