@@ -45,7 +45,7 @@ def charsets(files: DataFrame) -> DataFrame:
 
 def _lines(sentences: DataFrame) -> DataFrame:
     own = sentences.select(*_KEY, F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
-    return own.where(F.length("line") > 0)
+    return own.where((F.length("line") > 0) & (F.col("line") != "EOS"))
 
 
 def _fields(line: Column, layout: FieldLayout) -> dict[str, Column]:
