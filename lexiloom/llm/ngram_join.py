@@ -11,11 +11,12 @@ if the Jaccard similarity of their sets is at least ``THRESHOLD``.
 3. Index keys: single class 1 tokens, pairs of class 2 tokens. A text with over ``MOST_COMBINED`` class 2 tokens in
    its prefix gives them singly instead; every text also gives them singly to meet such texts, so no pair is lost.
 4. Candidates: index keys go to ranges of hash values, as packed blobs rather than rows. Within a key, texts whose
-   lengths differ too much or whose 128-bit one-permutation sketches agree on fewer than ``AGREE`` bits are dropped
-   (at the threshold 99 agree, deviation 4.7; texts under ``SHORT`` tokens skip this). What is left of a range
+   lengths differ too much or whose 256-bit one-permutation sketches agree on too few bits are dropped: fewer than
+   ``DEVIATIONS`` below what agrees at the threshold (of texts of 256 tokens or more 198, deviation 6.7, while
+   128 agree by chance, deviation 8; shorter texts deviate more; texts under ``SHORT`` tokens skip this). What is left of a range
    leaves it as a spanning forest, so a group of thousands of copies costs thousands of edges and not millions.
-5. Verification: connected candidates meet in one group, or in the pairs of its blocks of ``BLOCK`` texts, and all
-   pairs in it are compared exactly on whole sets.
+5. Verification: connected candidates meet in one group, or, beyond ``BLOCK`` characters, in the pairs of its blocks, and
+   all pairs in it are compared exactly on whole sets; ``one_of_each`` leaves out pairs that are connected already.
 
 Defined results: null, empty and blank texts have no token and join nothing; texts of fewer than N words are one
 token. Rows with a null id are left out of the join and kept by ``one_of_each``. Rows that share an id are each
@@ -41,8 +42,9 @@ THRESHOLD = 0.55
 #: Counted holders from which a token is class 2, and the most class 2 tokens that are shipped (the commonest ones).
 FREQUENT, MOST_FREQUENT = 24, 1 << 20
 MOST_COMBINED = 16
-AGREE, SHORT = 82, 48
-BLOCK = 512
+BINS, DEVIATIONS, SHORT = 256, 3.6, 48
+#: Characters of a group's texts that are compared together, and sets of a tile.
+BLOCK, TILE = 24_000_000, 512
 #: Tokens a task counts at a time, index entries a task packs at a time, and entries a range should have.
 COUNTED, PACKED, RANGE = 3_000_000, 1_500_000, 2_500_000
 PAIRS = "doc_id_a long, doc_id_b long, overlap int, size_a int, size_b int, jaccard double"
@@ -113,24 +115,32 @@ def frequent_tokens(docs: DataFrame, n: int = N, frequent: int = FREQUENT) -> tu
 
 
 def sketches(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """128 bits of a one-permutation min-hash of each set, as two words; empty bins take the next bin's value."""
+    """256 bits of a one-permutation min-hash of each set, as four words; empty bins take the next bin's value."""
     rows = len(bounds) - 1
     text = np.repeat(np.arange(rows), np.diff(bounds))
-    key = text * 128 + (g >> np.uint64(57)).astype(np.int64)
+    key = text * BINS + (g >> np.uint64(56)).astype(np.int64)
     new = np.ones(len(g), bool)
     new[1:] = key[1:] != key[:-1]
-    least = np.zeros((rows, 256), np.uint64)
-    far = np.full((rows, 256), 1 << 20, np.int32)
-    r, c = np.divmod(key[new], 128)
-    for shift in (0, 128):
+    least = np.zeros((rows, 2 * BINS), np.uint64)
+    far = np.full((rows, 2 * BINS), 1 << 20, np.int32)
+    r, c = np.divmod(key[new], BINS)
+    for shift in (0, BINS):
         least[r, c + shift] = g[new]
         far[r, c + shift] = c + shift
-    nearest = np.minimum.accumulate(far[:, ::-1], axis=1)[:, ::-1][:, :128]
-    some = nearest < 256
+    nearest = np.minimum.accumulate(far[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+    some = nearest < 2 * BINS
     nearest = np.where(some, nearest, 0)
-    v = np.take_along_axis(least, nearest, 1) + (nearest - np.arange(128)).astype(np.uint64) * _K
-    bits = (C.mix(v.ravel()).reshape(rows, 128) >> np.uint64(9)).astype(np.uint8) & 1
-    return np.packbits(bits, axis=1).view(np.uint64).reshape(rows, 2)
+    v = np.take_along_axis(least, nearest, 1) + (nearest - np.arange(BINS)).astype(np.uint64) * _K
+    bits = (C.mix(v.ravel()).reshape(rows, BINS) >> np.uint64(9)).astype(np.uint8) & 1
+    return np.packbits(bits, axis=1).view(np.uint64).reshape(rows, BINS // 64)
+
+
+def least_agreement(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Bits on which sketches of sets that join agree at least, for the smaller set's size: the samples' and the bits'
+    deviations add up, and a small set gives fewer samples than bins."""
+    share, samples = threshold + (1 - threshold) / 2, np.minimum(n, BINS)
+    deviation = np.sqrt(BINS * (1 - threshold) / 4 + (BINS / 2) ** 2 * threshold * (1 - threshold) / np.maximum(1, samples))
+    return BINS * share - DEVIATIONS * deviation
 
 
 def index_entries(g: np.ndarray, bounds: np.ndarray, tokens: np.ndarray, classes: np.ndarray, threshold: float, most: int = MOST_COMBINED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +179,7 @@ def index_entries(g: np.ndarray, bounds: np.ndarray, tokens: np.ndarray, classes
     return np.concatenate(keys), np.concatenate(owners), many
 
 
-_DOC = np.dtype([("id", "<i8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("many", "<i4")])
+_DOC = np.dtype([("id", "<i8"), *((k, "<u8") for k in "abcd"), ("n", "<i4"), ("many", "<i4")])
 _KEY = np.dtype([("key", "<u8"), ("doc", "<u4")])
 
 
@@ -199,7 +209,8 @@ def _index(batches: Iterator[pa.RecordBatch], ranges: int, model, n: int, thresh
             d = np.zeros(len(bounds) - 1, _DOC)
             d["id"], d["n"], d["many"] = ids[at : at + len(d)], np.diff(bounds), many
             s = sketches(g, bounds)
-            d["a"], d["b"] = s[:, 0], s[:, 1]
+            for x, word in enumerate("abcd"):
+                d[word] = s[:, x]
             k = np.zeros(len(own), _KEY)
             k["key"], k["doc"] = own, of + seen
             docs.append(d)
@@ -235,8 +246,12 @@ def similar(d: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np
     nx, ny = d["n"][x], d["n"][y]
     low, high = np.minimum(nx, ny), np.maximum(nx, ny)
     ok = low >= threshold * high - 1e-9
-    differ = np.bitwise_count(d["a"][x] ^ d["a"][y]).astype(np.int16) + np.bitwise_count(d["b"][x] ^ d["b"][y])
-    return ok & ((differ <= 128 - AGREE) | (low < SHORT))
+    x, y, low = x[ok], y[ok], low[ok]
+    differ = np.zeros(len(x), np.int16)
+    for word in "abcd":
+        differ += np.bitwise_count(d[word][x] ^ d[word][y])
+    ok[ok] = (BINS - differ >= least_agreement(low, threshold)) | (low < SHORT)
+    return ok
 
 
 def _candidates(t: pa.Table, threshold: float) -> pa.Table:
@@ -249,7 +264,7 @@ def _candidates(t: pa.Table, threshold: float) -> pa.Table:
         ks.append(k)
     every, k = np.concatenate(ds), np.concatenate(ks)
     # Texts with the same sketch and size count as one here; verification compares them all.
-    d, rep = np.unique(every[["a", "b", "n", "many"]], return_inverse=True)
+    d, rep = np.unique(every[["a", "b", "c", "d", "n", "many"]], return_inverse=True)
     first = np.full(len(d), np.iinfo(np.int64).max)
     np.minimum.at(first, rep, every["id"])
     key, doc = k["key"], rep[k["doc"]]
@@ -310,28 +325,81 @@ def candidates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Dat
     return packed.groupBy("part").applyInArrow(lambda t: _candidates(t, threshold), "a long, b long")
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The matrix of intersection sizes, by products over blocks of the tokens that at least two sets hold."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    out = np.zeros((m, m), np.float32)
-    if m == 2:
-        out[0, 1] = out[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-    else:
-        of = np.repeat(np.arange(m), size)
-        u, at, k = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(k > 1) - 1
+class Shared:
+    """The tokens that at least two of some sets hold, by set and by token."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], np.int64)
+        of = np.repeat(np.arange(len(sets)), self.size)
+        _, at, k = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         hit = (k > 1)[at]
-        of, at = of[hit], shared[at[hit]]
-        order = np.argsort(at, kind="stable")
-        of, at = of[order], at[order]
-        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-            s, e = np.searchsorted(at, [lo, lo + 4096])
-            x = np.zeros((m, 4096), np.float32)
-            x[of[s:e], at[s:e] - lo] = 1
-            out += x @ x.T
-    np.fill_diagonal(out, size)
-    return out
+        self.of, self.at = of[hit], (np.cumsum(k > 1) - 1)[at[hit]]
+        self.bounds = np.searchsorted(self.of, np.arange(len(sets) + 1))
+        order = np.argsort(self.at, kind="stable")
+        self.holders = self.of[order]
+        self.starts = np.searchsorted(self.at[order], np.arange(int((k > 1).sum()) + 1))
+
+    def with_all(self, x: int) -> np.ndarray:
+        """Intersection sizes of one set with all."""
+        own = self.at[self.bounds[x] : self.bounds[x + 1]]
+        s, n = self.starts[own], self.starts[own + 1] - self.starts[own]
+        ends = np.cumsum(n)
+        where = np.repeat(s - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.bincount(self.holders[where], minlength=len(self.size))
+
+    def tile(self, i: int, j: int) -> np.ndarray:
+        """Intersection sizes of the sets from i with those from j, TILE of each, by products over blocks of tokens."""
+        parts = []
+        for k in (i, j):
+            s, e = self.bounds[k], self.bounds[min(k + TILE, len(self.size))]
+            parts.append((self.of[s:e] - k, self.at[s:e], min(TILE, len(self.size) - k)))
+        both = np.intersect1d(parts[0][1], parts[1][1])
+        out = np.zeros((parts[0][2], parts[1][2]), np.float32)
+        for lo in range(0, len(both), 4096):
+            tokens = both[lo : lo + 4096]
+            dense = []
+            for of, at, rows in parts:
+                c = np.minimum(np.searchsorted(tokens, at), len(tokens) - 1)
+                m = tokens[c] == at
+                x = np.zeros((rows, len(tokens)), np.float32)
+                x[of[m], c[m]] = 1
+                dense.append(x)
+            out += dense[0] @ dense[1].T
+        return out
+
+
+def _joining(over: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Equal to overlap / union >= threshold, without a division's rounding."""
+    return over >= threshold * (a + b - over) - 1e-6
+
+
+def connecting(sets: list[np.ndarray], other: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, overlap) of joining pairs that connect all that join. A set is compared with all after it that aren't
+    connected to it yet, so a group of copies takes one comparison each. ``other``: whose pairs within a number don't count."""
+    shared = Shared(sets)
+    parent = np.arange(len(sets))
+    for x in range(len(sets) - 1):
+        root = _roots(parent, np.arange(x, len(sets)))
+        y = x + 1 + np.flatnonzero((root[1:] != root[0]) & (other[x + 1 :] != other[x]))
+        if len(y):
+            over = shared.with_all(x)[y]
+            m = _joining(over, shared.size[x], shared.size[y], threshold)
+            if m.any():
+                y, over = y[m], over[m]
+                _join_roots(parent, np.full(len(y), x), y)
+                yield np.full(len(y), x), y, over
+
+
+def joining_pairs(sets: list[np.ndarray], other: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, overlap) of all joining pairs."""
+    shared = Shared(sets)
+    n, size = len(sets), shared.size
+    for i in range(0, n, TILE):
+        for j in range(i, n, TILE):
+            over = shared.tile(i, j)
+            ok = _joining(over, size[i : i + TILE, None], size[None, j : j + TILE], threshold) & (other[i : i + TILE, None] != other[None, j : j + TILE])
+            x, y = np.nonzero(np.triu(ok, 1) if i == j else ok)
+            yield x + i, y + j, over[x, y]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, threshold: float, forest: bool) -> Iterator[pa.RecordBatch]:
@@ -339,27 +407,20 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, threshold: float, forest:
     out: list[np.ndarray] = []
     names = ["doc_id_a", "doc_id_b", "overlap", "size_a", "size_b"]
 
-    def close() -> None:
+    def close() -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        ids, block = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-        both = overlaps([h[3] for h in held])
-        size = np.diag(both)
-        # Equal to overlap / union >= threshold, without a division's rounding.
-        ok = np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6, 1) & (ids[:, None] != ids[None, :])
-        if block.min() != block.max():
-            ok &= block[:, None] != block[None, :]
-        x, y = np.nonzero(ok)
-        if forest and len(x):
-            parent = np.arange(len(ids))
-            _join_roots(parent, x, y)
-            root = _roots(parent, np.arange(len(ids)))
-            x = np.flatnonzero(root != np.arange(len(ids)))
-            y = root[x]
-        swap = ids[x] > ids[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        if len(x):
-            out.append(np.c_[ids[x], ids[y], both[x, y].astype(np.int64), size[x].astype(np.int64), size[y].astype(np.int64)])
+        ids, block, sets = np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held]
+        size = np.array([len(x) for x in sets])
+        # Pairs within one of two different blocks are compared where the block meets itself.
+        other = ids if block.min() == block.max() else block
+        for x, y, over in (connecting if forest else joining_pairs)(sets, other, threshold):
+            swap = ids[x] > ids[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            if len(x):
+                out.append(np.c_[ids[x], ids[y], over.astype(np.int64), size[x], size[y]])
+            if sum(map(len, out)) > 50_000:
+                yield batch()
 
     def batch() -> pa.RecordBatch:
         r = np.concatenate(out)
@@ -374,12 +435,10 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, threshold: float, forest:
                 k = at + i
                 key = (cols[0][k], cols[1][k], cols[2][k])
                 if held and held[0][0] != key:
-                    close()
+                    yield from close()
                     held.clear()
-                    if sum(map(len, out)) > 50_000:
-                        yield batch()
                 held.append((key, cols[3][k], cols[4][k], g[bounds[i] : bounds[i + 1]].copy()))
-    close()
+    yield from close()
     if out:
         yield batch()
 
@@ -388,8 +447,11 @@ def verified(docs: DataFrame, edges: DataFrame, n: int = N, threshold: float = T
     """All joining pairs within the components of the candidate edges; with ``forest`` only enough to connect them."""
     groups = C.materialize(C.components(edges), "groups")
     count = groups.count()
-    place = F.row_number().over(Window.partitionBy("component").orderBy("id"))
-    groups = groups.withColumn("block", F.floor((place - 1) / BLOCK).cast("int"))
+    # Blocks bound what a task holds, by text and not by rows: most groups are one block, whose texts move once.
+    length = docs.select(F.col("doc_id").cast("long").alias("id"), F.length("text").cast("long").alias("length"))
+    sized = length.join(C.checked_broadcast(groups, count), "id").groupBy("id", "component").agg(F.sum("length").alias("length"))
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("component").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sized.select("id", "component", F.floor(before / BLOCK).cast("int").alias("block"))
     last = groups.groupBy("component").agg(F.max("block").alias("last"))
     groups = C.materialize(groups.join(last, "component"), "blocks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(C.checked_broadcast(groups.withColumnRenamed("id", "doc_id"), count), "doc_id")
