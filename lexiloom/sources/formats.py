@@ -152,7 +152,7 @@ def parse_kernel_model(lines: DataFrame, column: str = "value") -> tuple[dict[st
 def format_kernel_model(svs: DataFrame, degree: int, s: int = 1, r: int = 1) -> DataFrame:
     """(value): the lines of a text model, the header's first."""
     spark = svs.sparkSession
-    head = ["opal # model", "1 # kernel type", f"{degree} # kernel parameter -d", f"{s} # kernel parameter -s", f"{r} # kernel parameter -r", "0 # threshold b"]
+    head = ["o # model", "1 # kernel type", f"{degree} # kernel parameter -d", f"{s} # kernel parameter -s", f"{r} # kernel parameter -r", "0 # threshold b"]
     line = F.concat_ws(" ", F.format_string("%.16g", F.col("alpha")), F.transform(F.array_sort("fv"), lambda f: F.concat(f.cast("string"), F.lit(":1"))))
     return spark.createDataFrame([(h,) for h in head], "value string").unionByName(svs.select(line.alias("value")))
 

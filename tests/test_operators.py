@@ -96,10 +96,10 @@ def test_files_and_models(spark, tmp_path):
 
 
 def test_units_become_phrases(spark):
-    text = "# S\n* 1D\n+ 1D\na x b c 0 d 0 e 0 f 0\n+ 2D\nb x b c 0 d 0 e 0 f 0\n* -1D\n+ -1D\nc x b c 0 d 0 e 0 f 0"
+    text = "# S\n* 1D\n+ 1D\na x b c 0 d 0 e 0 f 0\n+ 4D\nb x b c 0 d 0 e 0 f 0\n* -1D\n+ -1D\nc x b c 0 d 0 e 0 f 0"
     got = formats.convert_units(spark.createDataFrame([(1, 0, text)], "doc_id long, line_no int, content string")).first().content.split("\n")
     assert got[0] == "* 0 1D" and got[3] == "* 1 -1D" and got[-2] == "EOS"
-    assert formats.convert_units(spark.createDataFrame([(1, 0, text.replace("+ 2D", "+ 9D"))], "doc_id long, line_no int, content string")).count() == 0
+    assert formats.convert_units(spark.createDataFrame([(1, 0, text.replace("+ 4D", "+ 9D"))], "doc_id long, line_no int, content string")).count() == 0
 
 
 def test_views():
