@@ -5,8 +5,9 @@ once by doubling. A chunk ends where the hash's top bits are zero, not before ``
 latest, so an insertion moves only the cuts near it. Each distinct chunk (by SHA-256) is owned by the first place of
 the payload of least digest that holds it; a payload's ordered chunk list names chunks and owners.
 
-Bytes that needn't move don't: a payload that owns all its chunks is rebuilt where it is read. Only for payloads with
-foreign chunks are chunk bytes cut from their owners, joined by digest, put in order and hashed again.
+Every payload is rebuilt from its list and hashed again, chunk by chunk and as a whole; that alone sets ``verified``. One
+that owns all its chunks is rebuilt from its own bytes, which meet its list. For one with foreign chunks, pieces are cut
+from their owners, joined by place and put in order.
 
 Defined results: a null payload has null digest, no chunks and null ``verified``; an empty payload has no chunk and verifies. Equal payloads share one list.
 Rows keep null and repeated ids. Extra columns are ignored. An empty table gives no rows.
@@ -87,35 +88,82 @@ def chunk_lists(rows: DataFrame, column: str = "html") -> DataFrame:
     cut = own.select(F.col("_media").alias("media"), F.col("_payload").alias("payload")).mapInArrow(_chunked, CHUNKS)
     chunks = C.materialize(cut.dropDuplicates(["media", "seq"]), "chunks")
     owners = chunks.groupBy("digest").agg(F.min(F.struct("media", "at")).alias("o"))
-    return C.materialize(chunks.join(owners, "digest").select("media", "seq", "at", "length", "digest", F.col("o.media").alias("owner"), F.col("o.at").alias("owner_at")), "chunk-lists")
+    return chunks.join(owners, "digest").select("media", "seq", "at", "length", "digest", F.col("o.media").alias("owner"), F.col("o.at").alias("owner_at"))
+
+
+def by_media(lists: DataFrame) -> DataFrame:
+    """(media, chunks, foreign): a row for each payload with its chunks in order; ``foreign`` if any has another owner."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "owner", "owner_at", "length", "digest")))
+    return C.materialize(lists.groupBy("media").agg(ordered.alias("chunks"), F.max(F.col("media") != F.col("owner")).alias("foreign")), "chunk-lists")
+
+
+def _joined(media: bytes, parts: list[bytes | None], digests: list[bytes]) -> bytes | None:
+    """The parts in one, if each has its digest and all of them the payload's; otherwise None."""
+    if any(p is None or hashlib.sha256(p).digest() != d for p, d in zip(parts, digests)):
+        return None
+    whole = b"".join(parts)
+    return whole if hashlib.sha256(whole).digest() == media else None
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    """Payloads that own all their chunks, rebuilt in place (``at`` is null), and the pieces that others need."""
+    for b in _few(batches):
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for media, payload, chunks, cuts in zip(*(b.column(c).to_pylist() for c in ("media", "payload", "chunks", "cuts"))):
+            if chunks is not None:
+                whole = _joined(media, [payload[c["owner_at"] : c["owner_at"] + c["length"]] for c in chunks], [c["digest"] for c in chunks])
+                for x, v in zip(out, (media, None, None, whole if keep else None, whole is not None)):
+                    x.append(v)
+            for c in cuts or ():
+                for x, v in zip(out, (media, c["owner_at"], c["length"], payload[c["owner_at"] : c["owner_at"] + c["length"]], None)):
+                    x.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))], names=["media", "at", "length", "bytes", "verified"])
+
+
+def _put_together(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+    for b in _few(batches):
+        media = b.column("media").to_pylist()
+        whole = [_joined(m, [p["bytes"] for p in ps], [p["digest"] for p in ps]) for m, ps in zip(media, b.column("parts").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("media"), pa.array(whole if keep else [None] * len(whole), pa.binary()), pa.array([w is not None for w in whole], pa.bool_())], names=["media", "payload", "verified"])
+
+
+def _rebuilt(rows: DataFrame, each: DataFrame, column: str, keep: bool) -> DataFrame:
+    own = each.where("not foreign").select("media", "chunks")
+    wanted = each.where("foreign").select("media", F.inline("chunks"))
+    cuts = wanted.groupBy(F.col("owner").alias("media")).agg(F.collect_set(F.struct("owner_at", "length")).alias("cuts"))
+    payloads = _payloads(rows, column).where("_payload is not null").select(F.col("_media").alias("media"), F.col("_payload").alias("payload"))
+    # The only step that moves payloads: each meets its own list and what others need of it.
+    met = payloads.join(own.join(cuts, "media", "full"), "media").select("media", "payload", "chunks", "cuts")
+    got = C.materialize(met.mapInArrow(lambda it: _cut_out(it, keep), "media binary, at long, length int, bytes binary, verified boolean"), "cut")
+    mine = got.where("at is null").dropDuplicates(["media"]).select("media", F.col("bytes").alias("payload"), "verified")
+    pieces = got.where("at is not null").select(F.col("media").alias("owner"), F.col("at").alias("owner_at"), "length", "bytes").dropDuplicates(["owner", "owner_at", "length"])
+    parts = wanted.join(pieces, ["owner", "owner_at", "length"], "left").groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "bytes"))).alias("parts"))
+    return mine.unionAll(parts.mapInArrow(lambda it: _put_together(it, keep), "media binary, payload binary, verified boolean"))
 
 
 def rebuilt(rows: DataFrame, lists: DataFrame, column: str = "html") -> DataFrame:
-    """(media, payload, verified) of the payloads with foreign chunks, put together from the owners' bytes."""
-    foreign = lists.where("media <> owner").select("media").distinct()
-    wanted = C.materialize(lists.join(foreign, "media", "left_semi"), "wanted")
-    places = C.materialize(wanted.select("owner", "owner_at", "length", "digest").distinct(), "places")
-    by_owner = places.groupBy("owner").agg(F.collect_list(F.struct("owner_at", "length", "digest")).alias("cuts"))
-    sources = _payloads(rows, column).select("_media", "_payload").join(C.checked_broadcast(by_owner, places.count()), F.col("_media") == F.col("owner"))
-    cut = sources.select(F.explode("cuts").alias("c"), "_payload").select(F.col("c.digest").alias("digest"), F.substring(F.col("_payload"), (F.col("c.owner_at") + 1).cast("int"), F.col("c.length")).alias("bytes")).dropDuplicates(["digest"])
-    parts = wanted.select("media", "seq", "digest").join(cut, "digest", "left").groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "bytes"))).alias("p"))
-    whole = F.aggregate("p", F.lit(b""), lambda s, x: F.concat(s, x["bytes"]))
-    return parts.select("media", whole.alias("payload")).withColumn("verified", F.coalesce(F.unhex(F.sha2("payload", 256)) == F.col("media"), F.lit(False)))
+    """(media, payload, verified) of every distinct payload that has chunks, put together from its list in the list's order."""
+    return _rebuilt(rows, by_media(lists), column, True)
 
 
 def deduplicated(rows: DataFrame, id_column: str = "page_id", column: str = "html") -> DataFrame:
     """One row a payload: its digest, size, ordered chunk list (digest, length, owner's digest), own chunks, verification."""
-    lists = chunk_lists(rows, column)
-    order = F.array_sort(F.collect_list(F.struct("seq", F.hex("digest").alias("digest"), "length", F.hex("owner").alias("owner"))))
-    each = lists.groupBy("media").agg(order.alias("c"), F.sum(F.col("length").cast("long")).alias("held"), F.count_if(F.col("media") == F.col("owner")).cast("int").alias("own_chunks"))
-    ok = rebuilt(rows, lists, column).select("media", "verified")
-    media = C.materialize(each.join(ok, "media", "left"), "media")
+    each = by_media(chunk_lists(rows, column))
+    ok = _rebuilt(rows, each, column, False).select("media", "verified")
+    media = each.join(ok, "media", "left").select("media", F.col("chunks").alias("c"), "verified")
     mine = _payloads(rows, column).select(F.col(id_column).alias("id"), F.col("_media").alias("media"), F.length("_payload").cast("long").alias("n_bytes"))
     out = mine.join(media, "media", "left")
-    empty = F.col("n_bytes") == 0
-    chunks = F.transform("c", lambda x: F.struct(F.lower(x["digest"]).alias("digest"), x["length"].alias("length"), F.lower(x["owner"]).alias("owner")))
+    none = F.when(F.col("media").isNotNull(), 0)
+    chunks = F.transform("c", lambda x: F.struct(F.lower(F.hex(x["digest"])).alias("digest"), x["length"].alias("length"), F.lower(F.hex(x["owner"])).alias("owner")))
+    own_chunks = F.size(F.filter("c", lambda x: x["owner"] == F.col("media")))
     return out.select(
         F.col("id").alias(id_column), F.lower(F.hex("media")).alias("media"), "n_bytes",
-        F.coalesce(F.size("c"), F.when(F.col("media").isNotNull(), 0)).alias("n_chunks"), F.coalesce("own_chunks", F.when(F.col("media").isNotNull(), 0)).alias("own_chunks"), chunks.alias("chunks"),
-        F.when(empty, True).otherwise(F.coalesce("verified", F.col("held") == F.col("n_bytes"))).alias("verified"),
+        F.coalesce(F.size("c"), none).alias("n_chunks"), F.coalesce(own_chunks, none).alias("own_chunks"), chunks.alias("chunks"),
+        F.when(F.col("n_bytes") == 0, True).when(F.col("media").isNotNull(), F.coalesce("verified", F.lit(False))).alias("verified"),
     )

@@ -268,6 +268,26 @@ def test_media(spark):
     assert media.deduplicated(pages.where("false")).count() == 0
 
 
+def test_media_rebuilds_payloads_that_share_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    texts = ["".join(rng.choice(list("abcdefgh <>"), size=9000)) for _ in range(6)]
+    texts += [texts[4] + texts[5]]  # has foreign chunks
+    pages = spark.createDataFrame([(i, None, t, None) for i, t in enumerate(texts)] + [(7, None, texts[0], None)], PAGES)
+    lists = common.materialize(media.chunk_lists(pages), "lists")
+    names = [hashlib.sha256(t.encode()).digest() for t in texts]
+    got = {bytes(r.media): r for r in media.rebuilt(pages, lists).collect()}
+    assert {m: (bytes(r.payload), r.verified) for m, r in got.items()} == {m: (t.encode(), True) for m, t in zip(names, texts)}
+    own = F.col("media") == F.col("owner")
+    at = lambda k, seq: (F.col("media") == F.lit(names[k])) & F.col("seq").isin(seq) & own
+    bad = lists.select(
+        "media", F.when(at(0, [0, 1]), 1 - F.col("seq")).otherwise(F.col("seq")).alias("seq"), "at", "length",
+        F.when(at(1, [2]), F.unhex(F.sha2("digest", 256))).otherwise(F.col("digest")).alias("digest"), "owner",
+        F.when(at(2, [1]), F.col("owner_at") + 1).otherwise(F.col("owner_at")).alias("owner_at"),
+    )
+    monkeypatch.setattr(media, "chunk_lists", lambda rows, column="html": bad)
+    assert {r.page_id: r.verified for r in media.deduplicated(pages).collect()} == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False}
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "Hi <|end|> there"), (1, 1, "assistant", "Grüße 😀"), (1, 2, None, None), (1, 3, "assistant", ""), (2, None, "assistant", "a"), (2, 1, "user", "b"), (2, 1, "user", "b"), (None, 0, "user", "x")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, mask string")
