@@ -9,7 +9,8 @@ to one weight per subsequence, and scoring a text is a sum of table look-ups at
 
 Labels are given for texts (their sentences share it), while an insult is one fragment among many clean ones.
 So training is multiple-instance: seed witnesses hold a five-symbol piece that significantly many toxic and no clean
-sample texts hold; then the machine is refitted on each toxic text's best fragments. A text is rejected if any of its
+sample texts hold, significance being taken anew over the texts that no piece is chosen for yet; then the machine is
+refitted on each toxic text's best fragments, at least one a text. A text is rejected if any of its
 fragments scores above the threshold, which lies between the clean sample's and the witnesses' scores.
 
 Defined results: null, empty or blank texts score -1 and are kept; a score equal to the threshold is kept; repeated
@@ -145,7 +146,9 @@ def kernel(items: list[bytes], landmarks: list[bytes]) -> np.ndarray:
         order = np.argsort(r[hit], kind="stable")
         r, k, v = r[hit][order], k[hit][order], v[hit][order]
         for s in range(0, len(r), 200_000):
-            np.add.at(out, lo + r[s : s + 200_000], dense[k[s : s + 200_000]] * v[s : s + 200_000, None])
+            part_r = r[s : s + 200_000]
+            first = np.flatnonzero(np.r_[True, part_r[1:] != part_r[:-1]])
+            out[lo + part_r[first]] += np.add.reduceat(dense[k[s : s + 200_000]] * v[s : s + 200_000, None], first, axis=0)
     return out
 
 
@@ -183,21 +186,28 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
                     for i in range(max(1, len(g) - 4)):
                         if (p := g[i : i + 5]) not in clean_pieces:
                             pieces[p].add(k)
-    rate = sum(toxic) / len(toxic)
-    enough = np.log(0.5 / max(1, len(pieces) + len(clean_pieces))) / np.log(rate)
+    rivals = max(1, len(pieces) + len(clean_pieces))
     open_ = {k for k, t in enumerate(toxic) if t}
     chosen: list[bytes] = []
-    for p, ks in sorted(pieces.items(), key=lambda x: (-len(x[1]), x[0])):
-        if len(ks) >= max(3, min(enough, len(open_))) or not chosen:
-            chosen.append(p)
+    # The fewer toxic texts are left without a chosen piece, the fewer of them need share one for it to be significant.
+    while open_:
+        enough = max(3 if len(open_) > 3 else 2, min(np.log(0.5 / rivals) / np.log(len(open_) / len(toxic)), len(open_)))
+        held = {p: n for p, ks in pieces.items() if (n := len(ks & open_)) >= enough and 2 * n >= len(ks)}
+        if not held and not chosen and pieces:
+            held = {min(pieces, key=lambda p: (-len(pieces[p]), p)): 1}
+        if not held:
+            break
+        chosen += sorted(held, key=lambda p: (-held[p], p))
+        open_ = open_.difference(*(pieces[p] for p in held))
     if not chosen:
         return nothing
-    seeds: dict[bytes, int] = {}
-    for s, t in zip(sets, toxic):
-        if t:
-            for f in s:
-                if f not in good and (n := sum(p in f + b"\x01" for p in chosen)):
-                    seeds[f] = n
+    whole, short = {p for p in chosen if len(p) == 5}, [p for p in chosen if len(p) < 5]
+
+    def pieces_in(f: bytes) -> set[bytes]:
+        g = f + b"\x01"
+        return {p for i in range(len(g) - 4) if (p := g[i : i + 5]) in whole} | {p for p in short if p in g}
+
+    seeds = {f for s, t in zip(sets, toxic) if t for f in s if f not in good and pieces_in(f)}
     many = [f for f, _ in good.most_common(40)]
     spread = sorted(good, key=lambda f: int.from_bytes(f[-6:], "big") * 0x9E3779B97F4A7C15 % (1 << 64))
     clean = list(dict.fromkeys(many + spread[:12000]))
@@ -206,7 +216,7 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
     popular = Counter(f for s, t in zip(sets, toxic) if t for f in s if f in seeds)
     marks, covered = [], set()
     for f, _ in sorted(popular.items(), key=lambda x: (-x[1], x[0])):
-        own = {p for p in chosen if p in f + b"\x01"}
+        own = pieces_in(f)
         if own - covered and len(marks) < LANDMARKS // 2:
             marks.append(f)
             covered |= own
@@ -215,6 +225,7 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
     marks += [v for f in marks[:24] for v in variants(f)[:2]]
     marks += spread[: LANDMARKS // 4]
     others = [sorted(f for f in s if f not in good) for s, t in zip(sets, toxic) if t]
+    bare = [o for o in others if o and not seeds.intersection(o)]
     weights, bias = np.zeros(1 << 18), 0.0
     for _ in range(3):
         r, c, v = _map(marks)
@@ -233,7 +244,10 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
         marks = list(dict.fromkeys(marks + [names[i] for i in np.argsort(-hard, kind="stable")[: LANDMARKS // 4]]))
         flat = sorted({f for o in others for f in o})
         above = _score_list(flat, weights, bias) > max(0.0, hard.max() + 0.1)
-        witnesses = sorted(set(seeds) | {f for f, a in zip(flat, above) if a})
+        # A toxic text without a seed gives its best fragment, whatever it scores.
+        best = sorted({o[int(np.argmax(_score_list(o, weights, bias)))] for o in bare})
+        marks = list(dict.fromkeys(marks + best[: LANDMARKS // 2]))
+        witnesses = sorted(seeds.union(best) | {f for f, a in zip(flat, above) if a})
     final = dict(zip(good, _score_list(list(good), weights, bias)))
     worst = np.sort([max((final[f] for f in b), default=-1.0) for b, t in zip(sets, toxic) if not t])
     top = float(worst[max(0, len(worst) - 1 - len(worst) // 1000)])

@@ -123,6 +123,21 @@ def test_classifiers(spark, odd, none):
     assert quality.keep_good(spark, odd, known).columns == odd.columns
 
 
+def test_rare_insults_become_witnesses():
+    rng = np.random.default_rng(37)
+    rare = ["".join(str(rng.choice(list(c))) for c in ("bdfgkwz", "aeiou", "bdfgkwz", "bdfgkwz", "aeiou", "bdfgkwz", "bdfgkwz")) for _ in range(15)]
+    texts, toxic = [], []
+    for i in range(600):
+        t = rng.choice(WORDS, size=int(rng.integers(15, 40))).tolist()
+        if i < 300:
+            t.insert(int(rng.integers(0, len(t))), rare[i % 15] if 270 <= i else "grobfuk")
+        texts.append(" ".join(t))
+        toxic.append(i < 300)
+    weights, bias, threshold = toxicity.fit(toxicity.cut(pa.array(texts)), toxic)
+    got = toxicity.text_scores(pa.array(texts), weights, bias) > threshold
+    assert got[:270].all() and got[270:300].all() and not got[300:].any()
+
+
 def test_embedding_near_duplicates(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(300, 64))
