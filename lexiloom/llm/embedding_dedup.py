@@ -10,8 +10,8 @@ Pairs are looked for among vectors that agree on the first bits of a rotation, f
 as keep the buckets at about ``BUCKET`` vectors when the table grows, and as many rotations as find a pair at
 the threshold with probability ``RECALL`` at least. Every vector is a query; no number of partners is capped.
 
-Defined results: rows with a null id, a null, empty or zero vector, a null or non-finite component, or another dimension than most
-rows have are left out. Repeated rows of one id don't pair with themselves. A cosine equal to the threshold
+Defined results: rows with a null id, a null, empty or zero vector, or a null or non-finite component are left out.
+Vectors of each dimension are compared among themselves. Repeated rows of one id don't pair with themselves. A cosine equal to the threshold
 counts. Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -124,23 +125,16 @@ def _near(batches: Iterator[pa.RecordBatch], dim: int, threshold: float) -> Iter
         yield batch()
 
 
-def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, int, int]:
-    """(rows (id, v) that can be compared, their dimension, their number)."""
+def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(rows (id, v) that can be compared, each dimension and the number of its rows)."""
     ok = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     ok = ok.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
-    sizes = ok.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return ok, 0, 0
-    return ok.where(F.size("v") == sizes[0]), sizes[0], sizes[1]
+    return ok, [(r["d"], r["count"]) for r in ok.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """All pairs (vec_id_a < vec_id_b, cosine) at or above the threshold, found with probability RECALL at least."""
-    own, dim, rows = usable(vectors, id_column, column)
-    names = [f"{id_column}_a", f"{id_column}_b"]
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], f"{names[0]} long, {names[1]} long, cosine double")
+def _cosines(own: DataFrame, dim: int, rows: int, threshold: float) -> DataFrame:
+    """(a, b, cosine) of the pairs found among vectors of one dimension."""
     bits, tables = plan(rows, threshold)
     bits = min(bits, dim)
     spread = own.mapInArrow(lambda it: _coded(it, dim, bits, tables), "tab int, bucket long, id long, bits binary, factor float, small binary, scale float")
@@ -151,6 +145,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column:
     exact = pairs.join(own.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
     square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = exact.select("a", "b", (dot / F.sqrt(square("x") * square("y"))).alias("cosine"))
-    best = cosine.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= threshold)
+    return exact.select("a", "b", (dot / F.sqrt(square("x") * square("y"))).alias("cosine"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """All pairs (vec_id_a < vec_id_b, cosine) at or above the threshold, found with probability RECALL at least."""
+    own, sizes = usable(vectors, id_column, column)
+    names = [f"{id_column}_a", f"{id_column}_b"]
+    each = [_cosines(own.where(F.size("v") == dim), dim, rows, threshold) for dim, rows in sizes if rows > 1]
+    if not each:
+        return vectors.sparkSession.createDataFrame([], f"{names[0]} long, {names[1]} long, cosine double")
+    best = reduce(DataFrame.unionAll, each).groupBy("a", "b").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= threshold)
     return best.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]), F.round("cosine", 6).alias("cosine"))

@@ -155,6 +155,14 @@ def test_embedding_near_duplicates(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_every_dimension(spark):
+    rng = np.random.default_rng(41)
+    x, y = rng.normal(size=(30, 16)), rng.normal(size=(10, 8))
+    rows = [*enumerate(x.tolist()), *((100 + i, v) for i, v in enumerate(y.tolist())), (50, x[3].tolist()), (150, y[2].tolist()), (200, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {(3, 50), (102, 150)} <= {(r.vec_id_a, r.vec_id_b) for r in embedding_dedup.near_duplicates(df).collect()}
+
+
 def test_estimates_are_unbiased_within_bounds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 64)).astype(np.float32)
