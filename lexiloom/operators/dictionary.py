@@ -14,12 +14,19 @@ MANDATORY = (",", ".", "PARTICLE", "(", ")", "SPECIAL")
 BLOCK = 4096
 
 
-def field_strings(morphs: DataFrame) -> DataFrame:
-    """(str, pos, is_ctx) of every field of every token; pos orders occurrences over the whole corpus."""
+def first_seen(morphs: DataFrame) -> DataFrame:
+    """(str, at, field, is_ctx) of every string of any field; (at, field) orders first occurrences over the whole corpus.
+
+    Tokens are reduced to distinct ones first. ``at`` packs document, line and place into one number, which
+    aggregates in place, where a struct's least would sort all tokens.
+    """
+    at = F.col("doc_id").cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + (F.col("line_no").cast("long") * (1 << 31) + F.col("idx")).cast("decimal(19,0)")
+    kinds = morphs.groupBy(*FIELDS).agg(F.min(at.cast("decimal(38,0)")).alias("at"))
     values = F.array(*(F.struct(F.lit(k).alias("field"), F.col(c).alias("str")) for k, c in enumerate(FIELDS)))
-    own = morphs.select(*SENTENCE, "idx", "pos1", F.explode(values).alias("f"))
-    place = F.struct("doc_id", "line_no", "idx", F.col("f.field").alias("field"))
-    return own.select(F.col("f.str").alias("str"), place.alias("pos"), ((F.col("pos1") == "PARTICLE") & (F.col("f.field") == 0)).alias("is_ctx")).where("str is not null")
+    each = kinds.select("at", "pos1", F.explode(values).alias("f")).where("f.str is not null")
+    ctx = (F.col("pos1") == "PARTICLE") & (F.col("f.field") == 0)
+    first = each.groupBy(F.col("f.str").alias("str")).agg(F.min(F.struct("at", "f.field")).alias("p"), F.max(F.coalesce(ctx, F.lit(False))).alias("is_ctx"))
+    return first.select("str", "p.at", "p.field", "is_ctx")
 
 
 def build(morphs: DataFrame, mandatory: tuple[str, ...] = MANDATORY) -> DataFrame:
@@ -27,14 +34,14 @@ def build(morphs: DataFrame, mandatory: tuple[str, ...] = MANDATORY) -> DataFram
 
     Strings that must exist are appended last where the corpus lacks them.
     """
-    seen = field_strings(morphs).groupBy("str").agg(F.min("pos").alias("pos"), F.max("is_ctx").alias("is_ctx"))
+    seen = first_seen(morphs)
     spark = morphs.sparkSession
-    must = spark.createDataFrame([(s, k) for k, s in enumerate(mandatory)], "str string, place int")
-    lacking = must.join(seen, "str", "left_anti").select("str", F.col("place"), F.lit(False).alias("is_ctx"))
-    flat = seen.select("str", "is_ctx", F.lit(0).alias("late"), F.col("pos.doc_id").alias("d"), F.col("pos.line_no").alias("l"), F.col("pos.idx").alias("i"), F.col("pos.field").alias("f"))
-    flat = flat.unionByName(lacking.select("str", "is_ctx", F.lit(1).alias("late"), F.lit(0).cast("long").alias("d"), F.lit(0).alias("l"), F.lit(0).alias("i"), F.col("place").alias("f")))
+    must = spark.createDataFrame([(s, k) for k, s in enumerate(mandatory)], "str string, field int")
+    lacking = must.join(seen.select("str"), "str", "left_anti").select("str", F.lit(0).cast("decimal(38,0)").alias("at"), "field", F.lit(False).alias("is_ctx"), F.lit(1).alias("late"))
+    flat = seen.withColumn("late", F.lit(0)).unionByName(lacking)
     rest = F.when(F.col("is_ctx"), 0).otherwise(1)
-    ranked = bucketed_rank(flat, [rest, F.col("late"), F.floor(F.col("d") / BLOCK)], [F.col(c) for c in ("d", "l", "i", "f")], "id")
+    block = F.floor(F.expr(f"at div {1 << 62}") / BLOCK)
+    ranked = bucketed_rank(flat, [rest, F.col("late"), block], [F.col("at"), F.col("field")], "id")
     return ranked.select("str", "id", "is_ctx")
 
 
@@ -53,7 +60,9 @@ def look_up(df: DataFrame, dictionary: DataFrame, column: str, name: str, unseen
 def frequency_rank(features: DataFrame) -> DataFrame:
     """(fn, cnt, fi): feature numbers ranked by falling frequency from 1, ties by the larger number first."""
     counts = features.groupBy("fn").agg(F.count("*").alias("cnt"))
-    bucket = [-F.least(F.col("cnt"), F.lit(256)), -F.floor(F.col("fn") / (1 << 16))]
+    # A prefix of the order: exact small counts, split by number, then ever wider ranges of counts.
+    small = F.col("cnt") <= 64
+    bucket = [F.when(small, -F.col("cnt")).otherwise(-64 - F.floor(16 * F.log2("cnt"))), F.when(small, -F.floor(F.col("fn") / (1 << 16))).otherwise(0)]
     ranked = bucketed_rank(counts, bucket, [F.desc("cnt"), F.desc("fn")], "_r")
     return ranked.select("fn", "cnt", (F.col("_r") + 1).cast("int").alias("fi"))
 

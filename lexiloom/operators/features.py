@@ -18,11 +18,24 @@ CHUNK_SLOTS = [(-2, "surface"), (-2, "pos2"), (-2, "infl"), *((k, f) for k in (-
 PAIR_SLOTS = 20
 
 
+def kinds(morphs: DataFrame, dictionary: DataFrame, unseen: int) -> DataFrame:
+    """The distinct tokens (their four fields) with ``<field>_id``: look-ups are made once a kind, not once a token."""
+    own = morphs.select(*FIELDS).distinct()
+    for f in FIELDS:
+        own = look_up(own, dictionary, f, f"{f}_id", unseen)
+    return own
+
+
+def of_kind(morphs: DataFrame, known: DataFrame) -> DataFrame:
+    """Tokens with their kind's columns: one join, on all four fields, so that none of them alone makes a hot key."""
+    k = known.select(*(F.col(f).alias(f"_k_{f}") for f in FIELDS), *(c for c in known.columns if c not in FIELDS))
+    same = [F.col(f).eqNullSafe(F.col(f"_k_{f}")) for f in FIELDS]
+    return morphs.join(k, same, "left").drop(*(f"_k_{f}" for f in FIELDS))
+
+
 def with_ids(morphs: DataFrame, dictionary: DataFrame, unseen: int) -> DataFrame:
     """Adds ``<field>_id`` for the four fields."""
-    for f in FIELDS:
-        morphs = look_up(morphs, dictionary, f, f"{f}_id", unseen)
-    return morphs
+    return of_kind(morphs, kinds(morphs, dictionary, unseen))
 
 
 def _ids(slots: list[tuple[int, Column]], size: int) -> Column:
@@ -44,18 +57,19 @@ def wide_weights(weights: DataFrame, size: int) -> DataFrame:
     return own.groupBy("id").agg(*(F.sum(F.when(F.col("slot") == k, F.col("w"))).alias(f"w{k}") for k in range(len(CHUNK_SLOTS))))
 
 
-def chunk_margins(ids: DataFrame, wide: DataFrame) -> DataFrame:
-    """Adds ``margin``, equal to joining every feature with its weight: as a linear score is a sum over tokens, each
-    token takes its strings' weights once, and sums for five offsets are shifted along the sentence."""
-    own = ids
+def chunk_margins(morphs: DataFrame, known: DataFrame, wide: DataFrame) -> DataFrame:
+    """Adds ``margin``, equal to joining every feature with its weight: a linear score is a sum over tokens, so each
+    kind of token (``known``, as ``kinds`` gives it) takes its strings' weights once, as sums for five offsets; tokens join
+    their kind, and the sums are shifted along the sentence."""
+    own = known
     for f in FIELDS:
         slots = [k for k, (_, g) in enumerate(CHUNK_SLOTS) if g == f]
         own = own.join(wide.select(F.col("id").alias(f"{f}_id"), *(F.coalesce(f"w{k}", F.lit(0.0)).alias(f"_w{k}") for k in slots)), f"{f}_id", "left")
     w = Window.partitionBy(*SENTENCE).orderBy("idx")
     part = {o: sum((F.coalesce(f"_w{k}", F.lit(0.0)) for k, (p, _) in enumerate(CHUNK_SLOTS) if p == o), F.lit(0.0)) for o in range(-2, 3)}
-    own = own.select(*ids.columns, *(c.alias(f"_p{o + 2}") for o, c in part.items()))
+    own = own.select(*FIELDS, *(c.alias(f"_p{o + 2}") for o, c in part.items()))
     shifted = [F.col("_p2"), *(F.coalesce((F.lag(f"_p{o + 2}", -o) if o < 0 else F.lead(f"_p{o + 2}", o)).over(w), F.lit(0.0)) for o in (-2, -1, 1, 2))]
-    return own.withColumn("margin", sum(shifted[1:], shifted[0])).select(*ids.columns, "margin")
+    return of_kind(morphs, own).withColumn("margin", sum(shifted[1:], shifted[0])).select(*morphs.columns, "margin")
 
 
 def chunked(margins: DataFrame) -> DataFrame:

@@ -37,9 +37,11 @@ class Corpus:
     def __init__(self, spark: SparkSession, d: str) -> None:
         self.morphs = _morphs(spark, d)
         self.dictionary = written(D.build(self.morphs), "dictionary")
+        D.check(self.dictionary)
         self.strings, self.context = self.dictionary.agg(F.count("*"), F.count_if("is_ctx")).first()
         self.size, self.width = self.strings + 1, 64 * -(-self.context // 64)
-        self.ids = features.with_ids(self.morphs, self.dictionary, self.strings)
+        self.kinds = written(features.kinds(self.morphs, self.dictionary, self.strings), "kinds")
+        self.ids = features.of_kind(self.morphs, self.kinds)
 
     def weights(self, most: int) -> DataFrame:
         return self.dictionary.sparkSession.range(1, most + 1).select(F.col("id").alias("fid"), _weight(F.col("id")).cast("double").alias("w"))
@@ -109,7 +111,7 @@ def feat_pair_static(spark: SparkSession, d: str) -> DataFrame:
 def chunk_linear(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
     wide = features.wide_weights(c.weights(len(features.CHUNK_SLOTS) * c.size), c.size)
-    return features.chunked(features.chunk_margins(c.ids, wide)).select(*S, "idx", F.col("margin").cast("long").alias("margin"), "chunk", "chunk_ref")
+    return features.chunked(features.chunk_margins(c.morphs, c.kinds, wide)).select(*S, "idx", F.col("margin").cast("long").alias("margin"), "chunk", "chunk_ref")
 
 
 def eval_chunk(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.expressions import kernel_coefficients
-from lexiloom.operators import parsing, scoring, training, views
+from lexiloom.operators import dictionary, features, parsing, scoring, training, views
 from lexiloom.sources import formats
 
 GOLD = [1, 3, 3, -1]
@@ -102,13 +102,38 @@ def test_units_become_phrases(spark):
     assert formats.convert_units(spark.createDataFrame([(1, 0, text.replace("+ 4D", "+ 9D"))], "doc_id long, line_no int, content string")).count() == 0
 
 
+def test_frequency_ranks_beyond_small_counts_and_numbers(spark):
+    """Counts on both sides of 64 and 256, numbers on both sides of 65,536, and ties."""
+    counts = {1: 300, 70_000: 260, 65_535: 260, 65_536: 64, 3: 64, 9: 63, 140_000: 63, 2: 7, 9_000_000_000: 7, 5: 1000}
+    rows = spark.createDataFrame([(f, n) for f, n in counts.items()], "fn long, n int").selectExpr("fn", "explode(sequence(1, n)) AS x").select("fn")
+    got = [(r.fn, r.cnt) for r in dictionary.frequency_rank(rows).orderBy("fi").collect()]
+    assert got == sorted(counts.items(), key=lambda x: (-x[1], -x[0]))
+
+
+def test_dictionary_order_and_checks(spark):
+    rows = [(7, 0, 0, "b", "CONTENT", "*", "b"), (2, 1, 0, "the", "PARTICLE", "*", "he"), (2, 0, 1, "a", "PARTICLE", "x", "a"), (5000, 0, 0, None, "CONTENT", "*", "z"), (-3, 0, 0, "neg", "CONTENT", "*", "eg")]
+    m = spark.createDataFrame(rows, "doc_id long, line_no int, idx int, surface string, pos1 string, pos2 string, infl string")
+    d = dictionary.build(m)
+    assert [r.str for r in d.orderBy("id").collect()] == ["a", "the", "neg", "CONTENT", "*", "eg", "PARTICLE", "x", "he", "b", "z", ",", ".", "(", ")", "SPECIAL"]
+    dictionary.check(d)
+    with pytest.raises(ValueError):
+        dictionary.check(dictionary.build(m.where("pos1 <> 'PARTICLE'")))
+    ids = features.with_ids(m, d, d.count()).orderBy("doc_id", "line_no").collect()
+    assert [r.surface_id for r in ids] == [2, 0, 1, 9, 16] and [r.infl_id for r in ids] == [5, 0, 8, 9, 10]
+
+
 def test_views():
     assert views.draw(["a", "b"], [1, -1], [1, -1]).count("\n") == 1
 
 
-def test_rest_works_without_training_data_operators(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",), ("lexiloom/llm/__pycache__/queries.pyc", "corpus_pipeline.py")])
+def test_rest_works_without_training_data_operators(tmp_path, left):
+    """Also where the pipeline's file or a folder of compiled code stays behind."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(root, "lexiloom"), tmp_path / "lexiloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'eval_chunk' in q and 'pipeline' not in q; assert e.oracle_sql()"
+    for name in left:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("from lexiloom.llm import quality\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'eval_chunk' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
