@@ -15,7 +15,7 @@ from lexiloom.sources.corpus import SENTENCE
 FIELDS = ("surface", "pos1", "pos2", "infl")
 #: (offset to the token, field) of each slot of a token's template.
 CHUNK_SLOTS = [(-2, "surface"), (-2, "pos2"), (-2, "infl"), *((k, f) for k in (-1, 0) for f in FIELDS), (1, "surface"), (2, "surface")]
-PAIR_SLOTS = 20
+PAIR_SLOTS, TRIPLE_SLOTS = 20, 33
 
 
 def kinds(morphs: DataFrame, dictionary: DataFrame, unseen: int) -> DataFrame:
@@ -77,11 +77,37 @@ def chunked(margins: DataFrame) -> DataFrame:
     return margins.withColumn("chunk", (F.col("idx") == 0) | (F.col("margin") > 0))
 
 
-def phrase_features(ids: DataFrame, bun: DataFrame, ctx: DataFrame, size: int, context: int) -> DataFrame:
-    """(sentence, id, n, did, bracket, inner, ctx, lft, rgt): each phrase's static features as dependent (lft) and as
-    head (rgt), so that a pair's are their union and a table has one row a phrase, not one a pair. ``ids`` has ``bun``.
+#: Slots of a phrase's first token (surface, pos2), its head and tail (four fields each), its right neighbour's first, head and
+#: last surface, by its part in a template; (head surface, head pos2), tail and left neighbour's last surface of a dependent.
+_HEAD_SLOTS = {"pair": (6, 8, 12, 16), "near": (6, 8, 12, 26), "far": (16, 18, 22, 29)}
+_LEFT_NEIGHBOUR = {"pair": 19, "triple": 32}
 
-    ``inner`` sums brackets up to the phrase; ``context`` is the width of a set of context bits.
+
+def local_width(context: int) -> int:
+    return 9 + context
+
+
+def global_base(template: str, size: int, context: int) -> int:
+    """The first id of a template's features of a phrase pair as a whole; those of a triple's other pair follow."""
+    slots, phrases = (PAIR_SLOTS, 2) if template == "pair" else (TRIPLE_SLOTS, 3)
+    return 1 + slots * size + phrases * local_width(context)
+
+
+def global_width(context: int) -> int:
+    """Distance (3), brackets (3) and the competitors' context bits."""
+    return 6 + context
+
+
+def template_ids(template: str, size: int, context: int) -> int:
+    return global_base(template, size, context) + (1 if template == "pair" else 2) * global_width(context) - 1
+
+
+def phrase_features(ids: DataFrame, bun: DataFrame, ctx: DataFrame, size: int, context: int, template: str = "pair") -> DataFrame:
+    """(sentence, id, n, did, bracket, inner, ctx, and the sides): each phrase's static features in each of its parts, so that
+    a pair's or triple's are their union and a table has one row a phrase, not one a pair. ``ids`` has ``bun``.
+
+    The sides are ``lft`` as dependent and ``rgt`` as head, and for a triple ``lft``, ``rgt`` as the nearer candidate and ``far`` as the
+    farther one. ``inner`` sums brackets up to the phrase; ``context`` is the width of a set of context bits.
     """
     special, particle = F.col("pos1") == "SPECIAL", F.col("pos1") == "PARTICLE"
     rec = F.struct(*(F.col(f"{f}_id").alias(f) for f in FIELDS))
@@ -93,12 +119,18 @@ def phrase_features(ids: DataFrame, bun: DataFrame, ctx: DataFrame, size: int, c
     w = Window.partitionBy(*SENTENCE).orderBy("id")
     own = own.withColumns({"_nf": F.lead("first").over(w), "_nh": F.lead("hd").over(w), "_nl": F.lead("last").over(w), "_pl": F.lag("last").over(w), "inner": F.sum("bracket").over(w).cast("int")})
     four = lambda at, c: [(at + k, F.col(f"{c}.{f}")) for k, f in enumerate(FIELDS)]
-    left = [(0, F.col("hd.surface")), (1, F.col("hd.pos2")), *four(2, "tl"), (19, F.col("_pl.surface"))]
-    right = [(6, F.col("first.surface")), (7, F.col("first.pos2")), *four(8, "hd"), *four(12, "tl"), (16, F.col("_nf.surface")), (17, F.col("_nh.surface")), (18, F.col("_nl.surface"))]
-    base = 1 + PAIR_SLOTS * size
-    lft = F.concat(_ids(left, size), local_features(base, F.col("id") == 0, context))
-    rgt = F.concat(_ids(right, size), local_features(base + 9 + context, F.col("id") == F.col("n") - 1, context))
-    return own.select(*SENTENCE, "id", "n", "did", "bracket", "inner", "ctx", lft.alias("lft"), rgt.alias("rgt"))
+
+    def head(part: str, place: int) -> Column:
+        first, hd, tl, after = _HEAD_SLOTS[part]
+        slots = [(first, F.col("first.surface")), (first + 1, F.col("first.pos2")), *four(hd, "hd"), *four(tl, "tl")]
+        slots += [(after + k, F.col(f"{c}.surface")) for k, c in enumerate(("_nf", "_nh", "_nl"))]
+        return F.concat(_ids(slots, size), local_features(base + place * local_width(context), F.col("id") == F.col("n") - 1, context))
+
+    base = 1 + (PAIR_SLOTS if template == "pair" else TRIPLE_SLOTS) * size
+    left = [(0, F.col("hd.surface")), (1, F.col("hd.pos2")), *four(2, "tl"), (_LEFT_NEIGHBOUR[template], F.col("_pl.surface"))]
+    sides = {"lft": F.concat(_ids(left, size), local_features(base, F.col("id") == 0, context))}
+    sides |= {"rgt": head("pair", 1)} if template == "pair" else {"rgt": head("near", 1), "far": head("far", 2)}
+    return own.select(*SENTENCE, "id", "n", "did", "bracket", "inner", "ctx", *(c.alias(k) for k, c in sides.items()))
 
 
 def local_features(base: int, edge: Column, context: int) -> Column:
@@ -107,14 +139,29 @@ def local_features(base: int, edge: Column, context: int) -> Column:
     return F.concat(F.array(*(f.cast("long") for f in flags)), F.transform("ctx", lambda c: F.lit(base + 9).cast("long") + c))
 
 
+def _whole(base: int, i: str, j: str, ci: str, cj: str) -> Column:
+    """Distance and brackets strictly between two phrases; decoders add the competitors' bits."""
+    inside, far = F.col(cj) - F.col(ci), F.col(j) - F.col(i)
+    return F.array(one_hot(base, far == 1, far < 6).cast("long"), one_hot(base + 3, inside > 0, inside < 0).cast("long"))
+
+
 def pair_features(phrases: DataFrame, pairs: DataFrame, size: int, context: int) -> DataFrame:
-    """(sentence, i, j, fv): the static features of phrase pairs (sentence, i, j); decoders add the competitors' bits."""
+    """(sentence, i, j, fv): the static features of phrase pairs (sentence, i, j)."""
     a = phrases.select(*SENTENCE, F.col("id").alias("i"), "lft", F.col("inner").alias("_ci"))
     b = phrases.select(*SENTENCE, F.col("id").alias("j"), "rgt", (F.col("inner") - F.col("bracket")).alias("_cj"))
     own = pairs.join(a, [*SENTENCE, "i"]).join(b, [*SENTENCE, "j"])
-    base, inside, far = 1 + PAIR_SLOTS * size + 2 * (9 + context), F.col("_cj") - F.col("_ci"), F.col("j") - F.col("i")
-    whole = F.array(one_hot(base, far == 1, far < 6).cast("long"), one_hot(base + 3, inside > 0, inside < 0).cast("long"))
-    return own.select(*SENTENCE, "i", "j", F.array_sort(F.concat("lft", "rgt", whole)).alias("fv"))
+    return own.select(*SENTENCE, "i", "j", F.array_sort(F.concat("lft", "rgt", _whole(global_base("pair", size, context), "i", "j", "_ci", "_cj"))).alias("fv"))
+
+
+def triple_features(phrases: DataFrame, triples: DataFrame, size: int, context: int) -> DataFrame:
+    """(sentence, i, j, k, fv): the static features of triples (sentence, i, j, k), from phrases of the triple template."""
+    a = phrases.select(*SENTENCE, F.col("id").alias("i"), "lft", F.col("inner").alias("_ci"))
+    b = phrases.select(*SENTENCE, F.col("id").alias("j"), "rgt", (F.col("inner") - F.col("bracket")).alias("_cj"))
+    c = phrases.select(*SENTENCE, F.col("id").alias("k"), "far", (F.col("inner") - F.col("bracket")).alias("_ck"))
+    own = triples.join(a, [*SENTENCE, "i"]).join(b, [*SENTENCE, "j"]).join(c, [*SENTENCE, "k"])
+    base = global_base("triple", size, context)
+    near, far = _whole(base, "i", "j", "_ci", "_cj"), _whole(base + global_width(context), "i", "k", "_ci", "_ck")
+    return own.select(*SENTENCE, "i", "j", "k", F.array_sort(F.concat("lft", "rgt", "far", near, far)).alias("fv"))
 
 
 def combinations(fv: Column, degree: int, least: int = 1) -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.features import PAIR_SLOTS
+from lexiloom.operators.features import global_base, global_width
 from lexiloom.sources.corpus import SENTENCE
 
 Scorer = Callable[..., float]
@@ -97,21 +97,31 @@ def tournament(n: int, ask: Scorer) -> tuple[list[int], list[float]]:
 DECODERS = {"linear": shift_reduce, "chunking": cascade, "backward": backward, "tournament": tournament}
 
 
-def gold_events(heads: list[int], strategy: str) -> list[tuple[int, int, int, int]]:
-    """The training decisions (i, j, k, y) that gold heads lead to; k is -1 but for the tournament."""
-    n, out = len(heads), []
+def follow_gold(heads: list[int], strategy: str, tell: Callable[[int, int, int, int, list[int]], None]) -> None:
+    """Tells the training decisions (i, j, k, y, heads found before) that gold heads lead to; k is -1 but for the
+    tournament, whose matches are made before any head is known."""
+    n = len(heads)
     if strategy == "tournament":
+        none = [-1] * n
         for i in range(n - 2):
             h = heads[i]
-            out += [(i, j, h, 1) if j < h else (i, h, j, -1) for j in range(i + 1, n) if j != h]
-        return out
+            for j in range(i + 1, n):
+                if j != h:
+                    tell(i, min(j, h), max(j, h), 1 if j < h else -1, none)
+        return
 
-    def ask(i: int, j: int, _: list[int]) -> float:
+    def ask(i: int, j: int, found: list[int]) -> float:
         y = j == heads[i]
-        out.append((i, j, -1, 1 if y else -1))
+        tell(i, j, -1, 1 if y else -1, found)
         return float(y)
 
     DECODERS[strategy](n, ask)
+
+
+def gold_events(heads: list[int], strategy: str) -> list[tuple[int, int, int, int]]:
+    """The training decisions (i, j, k, y) that gold heads lead to."""
+    out: list[tuple[int, int, int, int]] = []
+    follow_gold(heads, strategy, lambda i, j, k, y, _: out.append((i, j, k, y)))
     return out
 
 
@@ -164,69 +174,153 @@ def fold_shift_reduce(sentences: DataFrame, accept: Callable) -> DataFrame:
     return sentences.select(*SENTENCE, F.array_append(F.transform(F.array_sort(arcs), lambda a: a["j"]), F.lit(-1)).alias("heads"))
 
 
+def competitors(i: int, j: int, heads: list[int], ctx: list) -> set[int]:
+    """Context bits of the phrases between i and j that compete for i: chains of heads are followed up to j."""
+    found: set[int] = set()
+    k = i + 1
+    while k < j:
+        while heads[k] not in (-1, j):
+            k = heads[k]
+        if k >= j:
+            break
+        found.update(ctx[k])
+        k += 1
+    return found
+
+
+class Whole:
+    """The features that pairs of phrases of one sentence have as a whole: distance, brackets between, competitors' bits."""
+
+    def __init__(self, inner: np.ndarray, bracket: np.ndarray, ctx: list) -> None:
+        # Python numbers and tuples: they are looked at one by one.
+        self.before = [int(x) for x in inner]
+        self.opens = [int(x) - int(y) for x, y in zip(inner, bracket)]
+        self.ctx = [tuple(int(c) for c in x) for x in ctx]
+
+    def places(self, i: int, j: int, heads: list[int]) -> list[int]:
+        """Places within the features of a whole pair."""
+        inside, far = self.opens[j] - self.before[i], j - i
+        own = [0 if far == 1 else 1 if far < 6 else 2, 3 if inside > 0 else 4 if inside < 0 else 5]
+        return own + [6 + c for c in competitors(i, j, heads, self.ctx)] if far > 1 else own
+
+
 class LinearScorer:
-    """Probabilities from a linear model: static sums of both phrases, distance, brackets between them, and the
-    particles of competitors, which hang on decisions made before."""
-
-    def __init__(self, lft: np.ndarray, rgt: np.ndarray, inner: np.ndarray, bracket: np.ndarray, ctx: list, far: np.ndarray, between: np.ndarray, bits: np.ndarray) -> None:
-        self.lft, self.rgt, self.inner, self.bracket, self.ctx = lft, rgt, inner, bracket, ctx
-        self.far, self.between, self.bits = far, between, bits
-
-    def competitors(self, i: int, j: int, heads: list[int]) -> set[int]:
-        found: set[int] = set()
-        k = i + 1
-        while k < j:
-            while heads[k] not in (-1, j):
-                k = heads[k]
-            if k >= j:
-                break
-            found.update(self.ctx[k])
-            k += 1
-        return found
+    """Probabilities from a linear model: static sums of the phrases' sides, and weights of the pairs as a whole.
+
+    ``sides`` has the sums of lft and rgt, and for a triple of far; ``whole`` the weights of a pair's features, or of both pairs'.
+    """
+
+    def __init__(self, sides: list[np.ndarray], pairs: Whole, whole: list[list[float]]) -> None:
+        self.sides, self.pairs, self.whole = [x.tolist() for x in sides], pairs, whole
 
-    def margin(self, i: int, j: int, heads: list[int]) -> float:
-        inside = self.inner[j] - self.bracket[j] - self.inner[i]
-        m = self.lft[i] + self.rgt[j] + self.far[0 if j - i == 1 else 1 if j - i < 6 else 2] + self.between[0 if inside > 0 else 1 if inside < 0 else 2]
-        return m + sum(self.bits[c] for c in self.competitors(i, j, heads))
+    def margin(self, i: int, j: int, heads: list[int], k: int | None = None) -> float:
+        m = self.sides[0][i] + self.sides[1][j] + sum(self.whole[0][p] for p in self.pairs.places(i, j, heads))
+        return m if k is None else m + self.sides[2][k] + sum(self.whole[1][p] for p in self.pairs.places(i, k, heads))
 
     def __call__(self, i: int, j: int, heads: list[int], k: int | None = None) -> float:
-        m = self.margin(i, j, heads) if k is None else self.margin(i, k, heads) - self.margin(i, j, heads)
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, m))))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.margin(i, j, heads, k)))))
 
 
-def static_margins(phrases: DataFrame, weights: DataFrame) -> DataFrame:
-    """(sentence, id, did, bracket, inner, ctx, lm, rm): the phrases with the sums of their static weights."""
-    side = lambda c: phrases.select(*SENTENCE, "id", F.explode(c).alias("fid"), F.lit(c).alias("side"))
-    hit = side("lft").unionByName(side("rgt")).join(weights, "fid")
-    total = lambda c: F.coalesce(F.sum(F.when(F.col("side") == c, F.col("w"))), F.lit(0)).cast("double")
-    sums = hit.groupBy(*SENTENCE, "id").agg(total("lft").alias("lm"), total("rgt").alias("rm"))
-    own = phrases.select(*SENTENCE, "id", "did", "bracket", "inner", "ctx").join(sums, [*SENTENCE, "id"], "left")
-    return own.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lm", "rm")})
+class VectorScorer:
+    """Probabilities from any model over whole feature vectors: ``margin`` takes a sorted list of ids."""
 
+    def __init__(self, sides: list[list], pairs: Whole, bases: list[int], margin: Callable[[list[int]], float]) -> None:
+        self.sides, self.pairs, self.bases, self.of = sides, pairs, bases, margin
 
-def parse(margins: DataFrame, strategy: str, whole: list[float]) -> DataFrame:
-    """(sentence, id, did, est_did, prob): heads by a linear model. ``whole`` holds the weights of the pair's own features:
-    3 for distance, 3 for brackets, then one a context bit; a few dozen numbers."""
+    def vector(self, i: int, j: int, heads: list[int], k: int | None = None) -> list[int]:
+        fv = [*self.sides[0][i], *self.sides[1][j], *(self.bases[0] + p for p in self.pairs.places(i, j, heads))]
+        if k is not None and k >= 0:
+            fv += [*self.sides[2][k], *(self.bases[1] + p for p in self.pairs.places(i, k, heads))]
+        return sorted(map(int, fv))
+
+    def __call__(self, i: int, j: int, heads: list[int], k: int | None = None) -> float:
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.of(self.vector(i, j, heads, k))))))
+
+
+def template_of(strategy: str) -> str:
     if strategy not in DECODERS:
         raise ValueError(f"unknown strategy {strategy!r}")
-    w = np.array(whole, float)
+    return "triple" if strategy == "tournament" else "pair"
+
+
+def sides_of(template: str) -> tuple[str, ...]:
+    return ("lft", "rgt") if template == "pair" else ("lft", "rgt", "far")
+
+
+def static_margins(phrases: DataFrame, weights: DataFrame, template: str = "pair") -> DataFrame:
+    """(sentence, id, did, bracket, inner, ctx, and the sides): the phrases with the sums of their sides' weights."""
+    names = sides_of(template)
+    sides = F.array(*(F.col(c) for c in names))
+    side = phrases.select(*SENTENCE, "id", F.posexplode(sides).alias("side", "own")).select(*SENTENCE, "id", "side", F.explode("own").alias("fid")).join(weights, "fid")
+    sums = side.groupBy(*SENTENCE, "id").agg(*(F.coalesce(F.sum(F.when(F.col("side") == k, F.col("w"))), F.lit(0)).cast("double").alias(c) for k, c in enumerate(names)))
+    own = phrases.select(*SENTENCE, "id", "did", "bracket", "inner", "ctx").join(sums, [*SENTENCE, "id"], "left")
+    return own.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})
+
+
+def _arcs(batches: Iterator[pd.DataFrame], strategy: str, scorer: Callable) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        doc, line, size, did, heads, probs = [], [], [], [], [], []
+        for r in b.itertuples(index=False):
+            h, p = DECODERS[strategy](len(r.did), scorer(r))
+            heads += h
+            probs += p
+            did.append(np.asarray(r.did))
+            doc.append(r.doc_id)
+            line.append(r.line_no)
+            size.append(len(h))
+        if size:
+            n = np.array(size)
+            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame({"doc_id": np.repeat(doc, n), "line_no": np.repeat(line, n), "id": number, "did": np.concatenate(did), "est_did": heads, "prob": probs})
+
+
+def parse(margins: DataFrame, strategy: str, whole: list[list[float]]) -> DataFrame:
+    """(sentence, id, did, est_did, prob): heads by a linear model. ``whole`` holds the weights of the pair's own features:
+    3 for distance, 3 for brackets, then one a context bit; a few dozen numbers. The tournament's has those of both pairs."""
+    names = sides_of(template_of(strategy))
+
+    def scorer(r) -> LinearScorer:
+        return LinearScorer([getattr(r, c) for c in names], Whole(r.inner, r.bracket, list(r.ctx)), whole)
+
+    return _sentences(margins, "did", "bracket", "inner", "ctx", *names).mapInPandas(lambda it: _arcs(it, strategy, scorer), ARCS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for r in b.itertuples(index=False):
-                n = len(r.did)
-                ask = LinearScorer(r.lm, r.rm, r.inner, r.bracket, list(r.ctx), w[:3], w[3:6], w[6:])
-                heads, probs = DECODERS[strategy](n, ask)
-                parts.append(pd.DataFrame({"doc_id": r.doc_id, "line_no": r.line_no, "id": np.arange(n), "did": r.did, "est_did": heads, "prob": probs}))
-            if parts:
-                yield pd.concat(parts)
 
-    return _sentences(margins, "did", "bracket", "inner", "ctx", "lm", "rm").mapInPandas(run, ARCS)
+def parse_with(phrases: DataFrame, strategy: str, bases: list[int], margin: Callable[[list[int]], float]) -> DataFrame:
+    """(sentence, id, did, est_did, prob): heads by any model, which is sent to the workers as ``margin``."""
+    names = sides_of(template_of(strategy))
 
+    def scorer(r) -> VectorScorer:
+        return VectorScorer([list(getattr(r, c)) for c in names], Whole(r.inner, r.bracket, list(r.ctx)), bases, margin)
 
-def whole_weights(weights: DataFrame, size: int, context: int) -> list[float]:
-    """The weights of the features that belong to a pair as a whole, by their place in the template."""
-    base = 1 + PAIR_SLOTS * size + 2 * (9 + context)
-    own = {r["fid"]: float(r["w"]) for r in weights.where((F.col("fid") >= base) & (F.col("fid") < base + 6 + context)).collect()}
-    return [own.get(base + k, 0.0) for k in range(6 + context)]
+    return _sentences(phrases, "did", "bracket", "inner", "ctx", *names).mapInPandas(lambda it: _arcs(it, strategy, scorer), ARCS)
+
+
+def whole_weights(weights: DataFrame, size: int, context: int, template: str = "pair") -> list[list[float]]:
+    """The weights of the features that belong to a pair as a whole, by their place in the template; for a triple both pairs'."""
+    base, width, k = global_base(template, size, context), global_width(context), 1 if template == "pair" else 2
+    own = {r["fid"]: float(r["w"]) for r in weights.where((F.col("fid") >= base) & (F.col("fid") < base + k * width)).collect()}
+    return [[own.get(base + j * width + p, 0.0) for p in range(width)] for j in range(k)]
+
+
+EXAMPLES = "doc_id long, line_no int, event_no int, i int, j int, k int, y int, fv array<long>"
+
+
+def training_examples(phrases: DataFrame, strategy: str, size: int, context: int) -> DataFrame:
+    """(sentence, event_no, i, j, k, y, fv): the decisions that gold heads lead to, each with its whole feature vector: the sides'
+    static features, distance, brackets and competitors' bits, as the heads found so far make them."""
+    template = template_of(strategy)
+    names, base = sides_of(template), global_base(template, size, context)
+    bases = [base, base + global_width(context)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                gold = [int(x) for x in r.did]
+                of = VectorScorer([list(getattr(r, c)) for c in names], Whole(r.inner, r.bracket, list(r.ctx)), bases, lambda fv: 0.0)
+                own: list[tuple] = []
+                follow_gold(gold, strategy, lambda i, j, k, y, heads: own.append((i, j, k, y, of.vector(i, j, heads, k))))  # noqa: B023
+                rows += [(r.doc_id, r.line_no, e, *x) for e, x in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "event_no", "i", "j", "k", "y", "fv"])
+
+    return _sentences(phrases, "did", "bracket", "inner", "ctx", *names).mapInPandas(run, EXAMPLES)

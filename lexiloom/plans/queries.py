@@ -46,14 +46,10 @@ class Corpus:
     def weights(self, most: int) -> DataFrame:
         return self.dictionary.sparkSession.range(1, most + 1).select(F.col("id").alias("fid"), _weight(F.col("id")).cast("double").alias("w"))
 
-    def phrases(self) -> DataFrame:
+    def phrases(self, template: str = "pair") -> DataFrame:
         numbered = written(phrases.number(self.ids), "numbered")
         bun = phrases.with_heads(phrases.phrases(numbered))
-        return features.phrase_features(numbered, bun, phrases.context_ids(numbered, self.dictionary), self.size, self.width)
-
-    @property
-    def pair_ids(self) -> int:
-        return features.PAIR_SLOTS * self.size + 2 * (9 + self.width) + 6 + self.width
+        return features.phrase_features(numbered, bun, phrases.context_ids(numbered, self.dictionary), self.size, self.width, template)
 
 
 def _text(fv: str = "fv") -> Column:
@@ -108,6 +104,14 @@ def feat_pair_static(spark: SparkSession, d: str) -> DataFrame:
     return features.pair_features(p, p.where("did >= 0").select(*S, F.col("id").alias("i"), F.col("did").alias("j")), c.size, c.width).select(*S, "i", "j", _text())
 
 
+def feat_triple_static(spark: SparkSession, d: str) -> DataFrame:
+    """Every phrase whose gold head isn't the last phrase, with both as candidates."""
+    c = Corpus(spark, d)
+    p = written(c.phrases("triple"), "phrases")
+    far = p.where("did >= 0 AND did < n - 1").select(*S, F.col("id").alias("i"), F.col("did").alias("j"), (F.col("n") - 1).alias("k"))
+    return features.triple_features(p, far, c.size, c.width).select(*S, "i", "j", "k", _text())
+
+
 def chunk_linear(spark: SparkSession, d: str) -> DataFrame:
     c = Corpus(spark, d)
     wide = features.wide_weights(c.weights(len(features.CHUNK_SLOTS) * c.size), c.size)
@@ -307,9 +311,32 @@ def tournament_train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    c, template = Corpus(spark, d), parsing.template_of(strategy)
+    weights = c.weights(features.template_ids(template, c.size, c.width))
+    margins = parsing.static_margins(written(c.phrases(template), "phrases"), weights, template)
+    return parsing.parse(margins, strategy, parsing.whole_weights(weights, c.size, c.width, template))
+
+
+def _examples_of(spark: SparkSession, d: str, strategy: str) -> DataFrame:
+    c, template = Corpus(spark, d), parsing.template_of(strategy)
+    return parsing.training_examples(written(c.phrases(template), "phrases"), strategy, c.size, c.width)
+
+
+def parse_examples_linear(spark: SparkSession, d: str) -> DataFrame:
+    """The parser's training examples as lines, in shift-reduce order."""
+    own = _examples_of(spark, d, "linear")
+    return own.select(*S, "event_no", formats.format_example(F.col("y"), F.col("fv")).alias("line"))
+
+
+def train_parse_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Train, parse and judge: decisions of the documents that are 0-3 modulo 6 train a linear model; those that are 5 are parsed."""
     c = Corpus(spark, d)
-    weights = c.weights(c.pair_ids)
-    return parsing.parse(parsing.static_margins(written(c.phrases(), "phrases"), weights), strategy, parsing.whole_weights(weights, c.size, c.width))
+    whole = written(c.phrases(), "phrases").withColumn("split", corpus.split_of(F.col("doc_id")))
+    examples = parsing.training_examples(whole.where("split = 'train'"), "linear", c.size, c.width)
+    numbered = examples.select(F.struct(*S, "event_no").alias("pos"), "y", "fv")
+    weights = written(training.train_mixed(numbered, 8, "PA-I", 0.001, 3), "weights")
+    margins = parsing.static_margins(whole.where("split = 'test'"), weights)
+    return evaluation.attachments(parsing.parse(margins, "linear", parsing.whole_weights(weights, c.size, c.width)))
 
 
 def parse_linear(spark: SparkSession, d: str) -> DataFrame:
@@ -376,11 +403,11 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES: list[Query] = [
-    morphs, dict_build, dict_lookup_unseen, bun_headtail, bun_ctx, bun_validate, lexical_bag, feat_chunk, feat_pair_static, chunk_linear, eval_chunk, feat_conj2,
+    morphs, dict_build, dict_lookup_unseen, bun_headtail, bun_ctx, bun_validate, lexical_bag, feat_chunk, feat_pair_static, feat_triple_static, chunk_linear, eval_chunk, feat_conj2,
     svmlight_roundtrip, jdp_roundtrip, jdp_text, corpus_split_mod6, fmap_rank, fmap_apply, label_map, prefix_search, trie_update, score_linear, eval_binary, prob_sigmoid,
     score_pki, pke_mine_d2, pke_mine_sigma, score_pke, score_split, fst_build, fst_prune, score_fst, maxent_softmax, pa_step, merge_support,
     parse_gold_linear_events, parse_gold_backward_events, parse_gold_chunking_events, parse_always_attach, parse_never_attach, tournament_train,
-    parse_linear, parse_chunking, parse_backward, parse_tournament, eval_depnd, tree_depth, align_offsets, chunk_view, train_linear, train_kernel, train_mixed, stream_morphs, stream_counts,
+    parse_examples_linear, train_parse_eval, parse_linear, parse_chunking, parse_backward, parse_tournament, eval_depnd, tree_depth, align_offsets, chunk_view, train_linear, train_kernel, train_mixed, stream_morphs, stream_counts,
 ]
 
 
@@ -405,21 +432,21 @@ f AS (SELECT unnest([surface, pos1, pos2, infl]) AS str, unnest([0, 1, 2, 3]) AS
 seen AS (SELECT str, min({'d': doc_id, 'l': line_no, 'i': idx, 'f': field}) AS p, bool_or(pos1 = 'PARTICLE' AND field = 0) AS is_ctx FROM f GROUP BY str),
 must AS (SELECT * FROM (VALUES (',', 0), ('.', 1), ('PARTICLE', 2), ('(', 3), (')', 4), ('SPECIAL', 5)) t(str, place)),
 every AS (SELECT str, p, is_ctx, 0 AS late FROM seen UNION ALL SELECT str, {'d': 0, 'l': 0, 'i': 0, 'f': place}, false, 1 FROM must WHERE str NOT IN (SELECT str FROM seen)),
-dict AS (SELECT str, CAST(row_number() OVER (ORDER BY is_ctx DESC, late, p) - 1 AS INTEGER) AS id, is_ctx FROM every),
+dict AS MATERIALIZED (SELECT str, CAST(row_number() OVER (ORDER BY is_ctx DESC, late, p) - 1 AS INTEGER) AS id, is_ctx FROM every),
 k AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) + 1 AS BIGINT) AS size, CAST(64 * ceil(count(*) FILTER (is_ctx) / 64) AS BIGINT) AS width FROM dict)"""
 )
 _I = (
     _D
     + """,
-ids AS (SELECT m.*, s.id AS s, a.id AS a, b.id AS b, e.id AS e FROM m JOIN dict s ON s.str = surface JOIN dict a ON a.str = pos1 JOIN dict b ON b.str = pos2 JOIN dict e ON e.str = infl)"""
+ids AS MATERIALIZED (SELECT m.*, s.id AS s, a.id AS a, b.id AS b, e.id AS e FROM m JOIN dict s ON s.str = surface JOIN dict a ON a.str = pos1 JOIN dict b ON b.str = pos2 JOIN dict e ON e.str = infl)"""
 )
 _B = """,
-num AS (SELECT *, CAST(sum(CASE WHEN chunk_ref OR idx = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY idx) - 1 AS INTEGER) AS bun FROM {t}),
+num AS MATERIALIZED (SELECT *, CAST(sum(CASE WHEN chunk_ref OR idx = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line_no ORDER BY idx) - 1 AS INTEGER) AS bun FROM {t}),
 bun0 AS (SELECT doc_id, line_no, bun AS id, min(idx) AS mpos, CAST(count(*) AS INTEGER) AS mlen, coalesce(max(idx) FILTER (pos1 NOT IN ('SPECIAL', 'PARTICLE')) - min(idx), -1) AS head,
   coalesce(max(idx) FILTER (pos1 <> 'SPECIAL') - min(idx), -1) AS tail, CAST(sum(CASE pos2 WHEN 'BR_OPEN' THEN 1 WHEN 'BR_CLOSE' THEN -1 ELSE 0 END) AS INTEGER) AS bracket,
   bool_or(pos2 = 'COMMA') AS comma, bool_or(pos2 = 'PERIOD') AS period FROM num GROUP BY doc_id, line_no, bun),
 bun1 AS (SELECT *, CAST(count(*) OVER (PARTITION BY doc_id, line_no) AS INTEGER) AS n FROM bun0),
-bun AS (SELECT *, CAST(CASE WHEN id = n - 1 THEN -1 WHEN comma THEN n - 1 ELSE id + 1 END AS INTEGER) AS did FROM bun1)"""
+bun AS MATERIALIZED (SELECT *, CAST(CASE WHEN id = n - 1 THEN -1 WHEN comma THEN n - 1 ELSE id + 1 END AS INTEGER) AS did FROM bun1)"""
 _G = _M + _B.replace("{t}", "m")
 _W = "((({f}) * 7919) % 21 - 10)"
 _X = (
@@ -466,11 +493,11 @@ _LOCAL = """list_concat([CAST({b} + CASE WHEN {edge} THEN 0 ELSE 1 END AS BIGINT
 list_transform(ctx, lambda c: CAST({b} + 9 + c AS BIGINT)))"""
 _PAIR = (
     "WITH" + _I + _B.replace("{t}", "ids")
-    + """, r AS (SELECT doc_id, line_no, bun AS id, arg_min({'s': s, 'a': a, 'b': b, 'e': e}, idx) AS fi, arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) AS la,
+    + """, r AS MATERIALIZED (SELECT doc_id, line_no, bun AS id, arg_min({'s': s, 'a': a, 'b': b, 'e': e}, idx) AS fi, arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) AS la,
   arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) FILTER (pos1 <> 'SPECIAL') AS tl, arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) FILTER (pos1 NOT IN ('SPECIAL', 'PARTICLE')) AS hd,
   coalesce(list_sort(list(DISTINCT s) FILTER (pos1 = 'PARTICLE')), []) AS ctx FROM num GROUP BY ALL),
 q AS (SELECT *, lead(fi) OVER o AS nf, lead(hd) OVER o AS nh, lead(la) OVER o AS nl, lag(la) OVER o AS pl, sum(bracket) OVER o AS inn FROM bun JOIN r USING (doc_id, line_no, id) WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY id)),
-z AS (SELECT doc_id, line_no, id, did, inn, bracket,
+z AS MATERIALIZED (SELECT doc_id, line_no, id, did, n_, inn, bracket,
   list_concat([1 + hd.s, 1 + size + hd.b, 1 + 2 * size + tl.s, 1 + 3 * size + tl.a, 1 + 4 * size + tl.b, 1 + 5 * size + tl.e, 1 + 19 * size + pl.s], """
     + _LOCAL.replace("{b}", "(1 + 20 * size)").replace("{edge}", "id = 0")
     + """) AS lft,
@@ -482,6 +509,32 @@ SELECT x.doc_id, x.line_no, x.id AS i, y.id AS j, array_to_string(list_sort(list
   CAST(22 + 20 * size + 2 * width + CASE WHEN y.inn - y.bracket - x.inn > 0 THEN 0 WHEN y.inn - y.bracket - x.inn < 0 THEN 1 ELSE 2 END AS BIGINT)]), lambda f: f IS NOT NULL)), ' ') AS fv
 FROM z x JOIN z y ON x.doc_id = y.doc_id AND x.line_no = y.line_no AND x.did = y.id, k"""
 )
+_TRIPLE = (
+    "WITH" + _I + _B.replace("{t}", "ids")
+    + """, r AS MATERIALIZED (SELECT doc_id, line_no, bun AS id, arg_min({'s': s, 'a': a, 'b': b, 'e': e}, idx) AS fi, arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) AS la,
+  arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) FILTER (pos1 <> 'SPECIAL') AS tl, arg_max({'s': s, 'a': a, 'b': b, 'e': e}, idx) FILTER (pos1 NOT IN ('SPECIAL', 'PARTICLE')) AS hd,
+  coalesce(list_sort(list(DISTINCT s) FILTER (pos1 = 'PARTICLE')), []) AS ctx FROM num GROUP BY ALL),
+q AS (SELECT *, lead(fi) OVER o AS nf, lead(hd) OVER o AS nh, lead(la) OVER o AS nl, lag(la) OVER o AS pl, sum(bracket) OVER o AS inn FROM bun JOIN r USING (doc_id, line_no, id) WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY id)),
+z AS MATERIALIZED (SELECT doc_id, line_no, id, did, n_, inn, bracket,
+  list_concat([1 + hd.s, 1 + size + hd.b, 1 + 2 * size + tl.s, 1 + 3 * size + tl.a, 1 + 4 * size + tl.b, 1 + 5 * size + tl.e, 1 + 32 * size + pl.s], """
+    + _LOCAL.replace("{b}", "(1 + 33 * size)").replace("{edge}", "id = 0")
+    + """) AS lft,
+  list_concat([1 + 6 * size + fi.s, 1 + 7 * size + fi.b, 1 + 8 * size + hd.s, 1 + 9 * size + hd.a, 1 + 10 * size + hd.b, 1 + 11 * size + hd.e, 1 + 12 * size + tl.s, 1 + 13 * size + tl.a, 1 + 14 * size + tl.b, 1 + 15 * size + tl.e,
+  1 + 26 * size + nf.s, 1 + 27 * size + nh.s, 1 + 28 * size + nl.s], """
+    + _LOCAL.replace("{b}", "(10 + 33 * size + width)").replace("{edge}", "id = n_ - 1")
+    + """) AS rgt,
+  list_concat([1 + 16 * size + fi.s, 1 + 17 * size + fi.b, 1 + 18 * size + hd.s, 1 + 19 * size + hd.a, 1 + 20 * size + hd.b, 1 + 21 * size + hd.e, 1 + 22 * size + tl.s, 1 + 23 * size + tl.a, 1 + 24 * size + tl.b, 1 + 25 * size + tl.e,
+  1 + 29 * size + nf.s, 1 + 30 * size + nh.s, 1 + 31 * size + nl.s], """
+    + _LOCAL.replace("{b}", "(19 + 33 * size + 2 * width)").replace("{edge}", "id = n_ - 1")
+    + """) AS far FROM (SELECT q.* EXCLUDE (n), q.n AS n_, k.size, k.width FROM q, k))
+SELECT x.doc_id, x.line_no, x.id AS i, y.id AS j, v.id AS k, array_to_string(list_sort(list_filter(list_concat(list_concat(x.lft, y.rgt, v.far), """
+    + ", ".join(
+        "[CAST({b} + CASE WHEN {h}.id - x.id = 1 THEN 0 WHEN {h}.id - x.id < 6 THEN 1 ELSE 2 END AS BIGINT), CAST({b} + 3 + CASE WHEN {h}.inn - {h}.bracket - x.inn > 0 THEN 0 WHEN {h}.inn - {h}.bracket - x.inn < 0 THEN 1 ELSE 2 END AS BIGINT)]".format(b=b, h=h)
+        for b, h in (("28 + 33 * size + 3 * width", "y"), ("34 + 33 * size + 4 * width", "v"))
+    )
+    + """), lambda f: f IS NOT NULL)), ' ') AS fv
+FROM z x JOIN z y ON x.doc_id = y.doc_id AND x.line_no = y.line_no AND x.did = y.id JOIN z v ON x.doc_id = v.doc_id AND x.line_no = v.line_no AND v.id = x.n_ - 1, k WHERE x.did < x.n_ - 1"""
+)
 _SCORED = "WITH" + _X + f", sc AS (SELECT ex_id, any_value(y) AS y, count(*) AS active, CAST(sum({_W.format(f='fn')}) AS BIGINT) AS score FROM exf GROUP BY ex_id)"
 _RANKED = ", ranks AS (SELECT fn, count(*) AS cnt, CAST(row_number() OVER (ORDER BY count(*) DESC, fn DESC) AS INTEGER) AS fi FROM exf GROUP BY fn)"
 _CONV = "SELECT unnest(string_split(text, ' ')) AS w FROM conversations"
@@ -504,6 +557,7 @@ def oracle_sql() -> dict[str, str]:
         "lexical_bag": heads + " SELECT doc_id, line_no, bun AS id, array_to_string(list_sort(list(DISTINCT surface)), ' ') AS bag FROM num GROUP BY doc_id, line_no, bun",
         "feat_chunk": "WITH" + _I + f" SELECT doc_id, line_no, idx, array_to_string(list_filter([{', '.join(_CHUNK)}], lambda f: f IS NOT NULL), ' ') AS fv FROM ids, k WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY idx)",
         "feat_pair_static": _PAIR,
+        "feat_triple_static": _TRIPLE,
         "chunk_linear": _CHUNKED + " SELECT * FROM chunked",
         "eval_chunk": _EVAL_CHUNK,
         "feat_conj2": "WITH" + _V + " SELECT CAST(a.f AS BIGINT) AS a, CAST(b.f AS BIGINT) AS b, count(*) AS n FROM vf a JOIN vf b ON a.ex_id = b.ex_id AND a.f < b.f GROUP BY 1, 2",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.expressions import kernel_coefficients
-from lexiloom.operators import dictionary, features, parsing, scoring, training, views
+from lexiloom.operators import dictionary, features, models, parsing, scoring, training, views
 from lexiloom.sources import formats
 
 GOLD = [1, 3, 3, -1]
@@ -49,6 +49,109 @@ def test_kernel_coefficients(degree, want):
     assert kernel_coefficients(degree) == want
 
 
+def _sentence(rng, n):
+    """A made-up sentence's phrases: gold heads, brackets, context bits and sides of a few features each."""
+    heads = [int(rng.integers(i + 1, n)) for i in range(n - 1)] + [-1]
+    bracket = rng.integers(-1, 2, size=n)
+    ctx = [sorted(rng.choice(8, size=int(rng.integers(0, 3)), replace=False).tolist()) for _ in range(n)]
+    sides = [[sorted(rng.choice(np.arange(at, at + 20), size=4, replace=False).tolist()) for _ in range(n)] for at in (1, 30, 60)]
+    return heads, bracket, np.cumsum(bracket), ctx, sides
+
+
+def _competitors(i, j, heads, ctx):
+    """By the definition: from each phrase after i, its chain's first phrase whose head is j or unknown; a chain that
+    leads to j or beyond ends the search."""
+    found, k = set(), i + 1
+    while k < j:
+        chain = k
+        while heads[chain] != -1 and heads[chain] != j:
+            chain = heads[chain]
+        if chain >= j:
+            return found
+        found |= set(ctx[chain])
+        k = chain + 1
+    return found
+
+
+@pytest.mark.parametrize("strategy", ["linear", "chunking", "backward", "tournament"])
+def test_scorers_equal_whole_vectors(strategy):
+    """The sums that drive a decoder are those of the whole vectors' weights, decision by decision."""
+    rng = np.random.default_rng(6)
+    w = {f: float(x) for f, x in enumerate(rng.normal(size=300))}
+    for n in (1, 2, 3, 9, 17):
+        heads, bracket, inner, ctx, sides = _sentence(rng, n)
+        pairs = parsing.Whole(inner, bracket, ctx)
+        bases = [100, 150]
+        of = parsing.VectorScorer(sides, pairs, bases, models.Linear(w))
+        sums = [np.array([sum(w[f] for f in x) for x in side]) for side in sides]
+        fast = parsing.LinearScorer(sums, pairs, [[w[b + p] for p in range(14)] for b in bases])
+        asked = []
+
+        def ask(i, j, found, k=None):
+            fv = of.vector(i, j, found, k)
+            want = [*sides[0][i], *sides[1][j]]
+            for base, to in zip(bases, (j, k)):
+                if to is not None:
+                    inside = int(bracket[i + 1 : to].sum())
+                    want += [base + (0 if to - i == 1 else 1 if to - i < 6 else 2), base + 3 + (0 if inside > 0 else 1 if inside < 0 else 2)]
+                    want += [base + 6 + c for c in _competitors(i, to, found, ctx)]
+            assert fv == sorted(want + (sides[2][k] if k is not None else []))
+            assert fast.margin(i, j, found, k) == pytest.approx(sum(w[f] for f in fv))
+            asked.append((i, j, k))
+            return fast(i, j, found, k)
+
+        if n > 1:
+            (got, p), (want, q) = parsing.DECODERS[strategy](n, ask), parsing.DECODERS[strategy](n, of)
+            assert got == want and p == pytest.approx(q)
+            assert asked or n < 3
+
+
+def test_every_kind_of_model_drives_a_parser(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for line in range(6):
+        n = int(rng.integers(2, 8))
+        heads, bracket, inner, ctx, sides = _sentence(rng, n)
+        rows += [(1, line, i, heads[i], int(bracket[i]), int(inner[i]), ctx[i], sides[0][i], sides[1][i], sides[2][i]) for i in range(n)]
+    phrases = spark.createDataFrame(rows, "doc_id long, line_no int, id int, did int, bracket int, inner int, ctx array<int>, lft array<long>, rgt array<long>, far array<long>").cache()
+    w = {f: float(x) for f, x in enumerate(rng.normal(size=300))}
+    weights = spark.createDataFrame(list(w.items()), "fid long, w double")
+    base = 100
+    for strategy in parsing.DECODERS:
+        template = parsing.template_of(strategy)
+        whole = [[w[b + p] for p in range(14)] for b in (base, 150)]
+        want = sorted(map(tuple, parsing.parse(parsing.static_margins(phrases, weights, template), strategy, whole).select("line_no", "id", "est_did").collect()))
+        by = parsing.parse_with(phrases, strategy, [base, 150], models.classifier("linear", weights))
+        assert sorted(map(tuple, by.select("line_no", "id", "est_did").collect())) == want
+        # A kernel of degree 1 with one support vector a feature, and two labels' weights, are that linear model again.
+        svs = spark.createDataFrame([(x, [f]) for f, x in w.items()] + [(-sum(w.values()), [999])], "alpha double, fv array<long>")
+        logs = spark.createDataFrame([("+1" if f % 2 else "-1", [f], x if f % 2 else -x) for f, x in w.items()], "label string, combo array<long>, w double")
+        for kind, table in (("kernel", svs), ("loglinear", logs)):
+            got = parsing.parse_with(phrases, strategy, [base, 150], models.classifier(kind, table, degree=1))
+            assert sorted(map(tuple, got.select("line_no", "id", "est_did").collect())) == want
+    for degree in (2, 3):
+        some = [(float(a), sorted(rng.choice(12, size=5, replace=False).tolist())) for a in rng.normal(size=9)]
+        margin = models.from_kernel(some, degree)
+        x = sorted(rng.choice(12, size=6, replace=False).tolist())
+        assert margin(x) == pytest.approx(sum(a * (len(set(x) & set(v)) + 1) ** degree for a, v in some))
+
+
+def test_training_examples_hold_every_decision(spark):
+    rng = np.random.default_rng(9)
+    heads, bracket, inner, ctx, sides = _sentence(rng, 7)
+    rows = [(1, 0, i, heads[i], int(bracket[i]), int(inner[i]), ctx[i], sides[0][i], sides[1][i], sides[2][i]) for i in range(7)]
+    phrases = spark.createDataFrame(rows, "doc_id long, line_no int, id int, did int, bracket int, inner int, ctx array<int>, lft array<long>, rgt array<long>, far array<long>")
+    for strategy in parsing.DECODERS:
+        got = parsing.training_examples(phrases, strategy, 4, 8).orderBy("event_no").collect()
+        assert [(r.i, r.j, r.k, r.y) for r in got] == parsing.gold_events(heads, strategy)
+        first = features.global_base(parsing.template_of(strategy), 4, 8)
+        for r in got:
+            assert list(r.fv) == sorted(r.fv) and set(sides[0][r.i]) | set(sides[1][r.j]) <= set(r.fv)
+            if strategy == "tournament":
+                bits = {c for k in range(r.i + 1, r.j) for c in ctx[k]}
+                assert {f - first - 6 for f in r.fv if first + 6 <= f < first + 14} == bits and set(sides[2][r.k]) <= set(r.fv)
+
+
 def test_update_steps():
     assert training.step("PA-I", 0.0, 4) == 0.25
     assert training.step("PA-II", 0.0, 4) == pytest.approx(1 / 4.5)
