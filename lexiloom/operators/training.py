@@ -31,12 +31,32 @@ def step(variant: str, margin: float, active: int, c: float = 1.0) -> float | No
     return {"P": 1.0, "PA": loss / active, "PA-I": min(c, loss / active), "PA-II": loss / (active + 1 / (2 * c))}[variant]
 
 
-def fit_linear(examples: list[tuple[int, np.ndarray]], variant: str = "PA-I", c: float = 1.0, epochs: int = 10, average: bool = True, start: dict[int, float] | None = None) -> dict[int, float]:
+Examples = list[tuple[int, np.ndarray]]
+
+
+def _order(examples: Examples, shuffle: int | None) -> Examples:
+    """The examples as they are, or mixed once by a seed."""
+    return examples if shuffle is None else [examples[k] for k in np.random.default_rng(shuffle).permutation(len(examples))]
+
+
+def fit_linear(
+    examples: Examples, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, average: bool = True, start: dict[int, float] | None = None,
+    shuffle: int | None = None, test: Examples | None = None, told: list[tuple[int, int]] | None = None,
+) -> dict[int, float]:
+    """Weights by online updates, from ``start`` on. Averaged ones are what the weights were on average over all steps.
+
+    ``shuffle`` mixes the examples once. With ``test``, each epoch appends (right answers, examples) of its weights to ``told``.
+    """
     w: dict[int, float] = dict(start or {})
     late: dict[int, float] = {}
     seen = 0
+    own = _order(examples, shuffle)
+
+    def now() -> dict[int, float]:
+        return {f: x - late.get(f, 0.0) / (seen + 1) for f, x in w.items()} if average else w
+
     for _ in range(epochs):
-        for y, fv in examples:
+        for y, fv in own:
             seen += 1
             fs = fv.tolist() if hasattr(fv, "tolist") else list(fv)
             tau = step(variant, y * sum(w.get(f, 0.0) for f in fs), len(fs), c)
@@ -44,27 +64,43 @@ def fit_linear(examples: list[tuple[int, np.ndarray]], variant: str = "PA-I", c:
                 for f in fs:
                     w[f] = w.get(f, 0.0) + y * tau
                     late[f] = late.get(f, 0.0) + y * tau * seen
-    return {f: x - late.get(f, 0.0) / (seen + 1) for f, x in w.items()} if average else w
+        if test is not None and told is not None:
+            mean = now()
+            told.append((sum((sum(mean.get(f, 0.0) for f in fv) >= 0) == (y > 0) for y, fv in test), len(test)))
+    return now()
+
 
+def fit_kernel(examples: Examples, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, degree: int = 2, s: int = 1, r: int = 1, average: bool = False, shuffle: int | None = None) -> dict[tuple[int, ...], float]:
+    """Support vectors by their features; repeated ones share one entry. Margins come from expanded weights.
 
-def fit_kernel(examples: list[tuple[int, np.ndarray]], variant: str = "PA-I", c: float = 1.0, epochs: int = 10, degree: int = 2, s: int = 1, r: int = 1) -> dict[tuple[int, ...], float]:
-    """Support vectors by their features; repeated ones share one entry. Margins come from expanded weights."""
+    With ``average`` the alphas are what they were on average over all steps; the learner itself goes on with the last ones."""
     weight = kernel_coefficients(degree, s, r)
     alpha: dict[tuple[int, ...], float] = {}
+    late: dict[tuple[int, ...], float] = {}
     combo: dict[tuple[int, ...], float] = {}
-    total = 0.0
+    total, seen = 0.0, 0
+    own = _order(examples, shuffle)
     for _ in range(epochs):
-        for y, fv in examples:
+        for y, fv in own:
+            seen += 1
             fs = tuple(sorted(fv))
             parts = [(t, k) for k in range(1, degree + 1) for t in combinations(fs, k)]
             m = y * (weight[0] * total + sum(weight[k] * combo.get(t, 0.0) for t, k in parts))
             tau = step(variant, m, len(fs), c)
             if tau is not None:
                 alpha[fs] = alpha.get(fs, 0.0) + y * tau
+                late[fs] = late.get(fs, 0.0) + y * tau * seen
                 total += y * tau
                 for t, _ in parts:
                     combo[t] = combo.get(t, 0.0) + y * tau
-    return alpha
+    return {v: a - late[v] / (seen + 1) for v, a in alpha.items()} if average else alpha
+
+
+def number_features(examples: Examples, known: dict[int, int] | None = None) -> tuple[Examples, dict[int, int]]:
+    """(examples with features by number, the numbers): a feature gets the next number, from 1, when it is first seen."""
+    numbers = dict(known or {})
+    out = [(y, np.sort([numbers.setdefault(int(f), len(numbers) + 1) for f in fv])) for y, fv in examples]
+    return out, numbers
 
 
 def _all(examples: DataFrame) -> DataFrame:
@@ -76,21 +112,44 @@ def _ordered(t: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
     return list(zip(t["y"].astype(int).tolist(), t["fv"]))
 
 
-def train_linear(examples: DataFrame, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, average: bool = True) -> DataFrame:
-    """(fid, w) from examples (pos, y, fv), in the order of ``pos``."""
+def _with(examples: DataFrame, start: DataFrame | None, test: DataFrame | None):
+    """One group of examples (part 0), weights to start from (1) and test examples (2)."""
+    own = examples.select("y", "fv", "pos", F.lit(0).alias("part"), F.lit(0.0).alias("w"))
+    none = F.lit(None)
+    if start is not None:
+        own = own.unionByName(start.select(none.cast("int").alias("y"), F.array(F.col("fid").cast("long")).alias("fv"), none.cast(examples.schema["pos"].dataType).alias("pos"), F.lit(1).alias("part"), F.col("w").cast("double")))
+    if test is not None:
+        own = own.unionByName(test.select("y", "fv", "pos", F.lit(2).alias("part"), F.lit(0.0).alias("w")))
+    return own.withColumn("_g", F.lit(0)).groupBy("_g")
+
+
+def train_linear(examples: DataFrame, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, average: bool = True, start: DataFrame | None = None, shuffle: int | None = None) -> DataFrame:
+    """(fid, w) from examples (pos, y, fv), in the order of ``pos`` or mixed by the seed ``shuffle``, from the weights of ``start`` on."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        w = fit_linear(_ordered(t), variant, c, epochs, average)
+        before = t[t["part"] == 1]
+        w = fit_linear(_ordered(t[t["part"] == 0]), variant, c, epochs, average, {int(f[0]): x for f, x in zip(before["fv"], before["w"])}, shuffle)
         return pd.DataFrame({"fid": list(w), "w": list(w.values())}).astype({"fid": "int64", "w": "float64"})
 
-    return _all(examples).applyInPandas(run, "fid long, w double")
+    return _with(examples, start, None).applyInPandas(run, "fid long, w double")
 
 
-def train_kernel(examples: DataFrame, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, degree: int = 2) -> DataFrame:
-    """(sv_id, alpha, fv) from examples (pos, y, fv), in the order of ``pos``."""
+def learning_curve(examples: DataFrame, test: DataFrame, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, average: bool = True, shuffle: int | None = None) -> DataFrame:
+    """(epoch, correct, n): how many test examples the weights after each epoch get right."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        a = fit_kernel(_ordered(t), variant, c, epochs, degree)
+        told: list[tuple[int, int]] = []
+        fit_linear(_ordered(t[t["part"] == 0]), variant, c, epochs, average, None, shuffle, _ordered(t[t["part"] == 2]), told)
+        return pd.DataFrame([(k + 1, *x) for k, x in enumerate(told)], columns=["epoch", "correct", "n"])
+
+    return _with(examples, None, test).applyInPandas(run, "epoch int, correct long, n long")
+
+
+def train_kernel(examples: DataFrame, variant: str = "PA-I", c: float = 1.0, epochs: int = 10, degree: int = 2, average: bool = False, shuffle: int | None = None) -> DataFrame:
+    """(sv_id, alpha, fv) from examples (pos, y, fv), in the order of ``pos`` or mixed by the seed ``shuffle``."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        a = fit_kernel(_ordered(t), variant, c, epochs, degree, average=average, shuffle=shuffle)
         return pd.DataFrame({"sv_id": range(len(a)), "alpha": list(a.values()), "fv": [list(k) for k in a]}).astype({"sv_id": "int64"})
 
     return _all(examples).applyInPandas(run, "sv_id long, alpha double, fv array<long>")
@@ -123,13 +182,12 @@ def merge_support(svs: DataFrame) -> DataFrame:
 def fit_log_linear(examples: DataFrame, features: int, l1: bool = False, strength: float = 0.01):
     """A logistic regression by Spark's own learner, with an absolute or squared penalty; not the reference's algorithm."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    @F.udf(VectorUDT())
-    def vector(fv):
-        return Vectors.sparse(features, [(int(f), 1.0) for f in fv if f < features])
+    from pyspark.ml.functions import array_to_vector
 
-    data = examples.select(((F.col("y") + 1) / 2).alias("label"), vector("fv").alias("features"))
+    # Presence flags of all numbered features, made within Spark; numbers beyond ``features`` are left out.
+    have = F.map_from_arrays(F.col("fv"), F.transform("fv", lambda f: F.lit(1.0)))
+    flags = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda k: F.coalesce(have[k.cast("long")], F.lit(0.0)))
+    data = examples.select(((F.col("y") + 1) / 2).alias("label"), array_to_vector(flags).alias("features"))
     return LogisticRegression(regParam=strength, elasticNetParam=1.0 if l1 else 0.0).fit(data)
 
 

@@ -373,6 +373,32 @@ def align_offsets(spark: SparkSession, d: str) -> DataFrame:
     return formats.align(new, phrases.number(_morphs(spark, d)))
 
 
+def align_merge(spark: SparkSession, d: str) -> DataFrame:
+    """How many sentences another cutting of their lines, at blanks alone, succeeds or fails to fit, and their phrases before and after."""
+    numbered, bun = _gold(spark, d)
+    lines = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    words = F.filter(F.split("line", " ", -1), lambda x: x != "")
+    new = lines.select(*S, F.posexplode(words).alias("idx", "surface"))
+    numbered = written(numbered, "numbered")
+    before = numbered.groupBy(*S).agg((F.max("bun") + 1).alias("before"))
+    got = formats.realigned(new, numbered, bun).join(before, S)
+    return got.groupBy("ok").agg(F.count("*").alias("sentences"), F.sum("before").alias("before"), F.sum(F.size("heads")).alias("after"))
+
+
+def jdp_depnd_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with every phrase attached to the next one, with probabilities and gold heads."""
+    numbered, bun = _gold(spark, d)
+    guess = bun.withColumn("est_did", F.when(F.col("id") == F.col("n") - 1, -1).otherwise(F.col("id") + 1)).withColumn("prob", 1.0 / (F.col("id") + 2))
+    return formats.format_sentences(numbered, guess, "est_did", "prob", "depnd")
+
+
+def jdp_chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences whose tokens show the borders of a rule, with probabilities, and gold ones."""
+    numbered, bun = _gold(spark, d)
+    own = numbered.withColumn("chunk", F.col("chunk_ref") & (F.length("surface") > 2)).withColumn("chunk_prob", 1.0 / (F.col("idx") + 2))
+    return formats.format_sentences(own, bun, kind="chunk")
+
+
 def chunk_view(spark: SparkSession, d: str) -> DataFrame:
     """Phrases of a rule that borders follow particles only, against gold."""
     m = _morphs(spark, d)
@@ -404,10 +430,10 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     morphs, dict_build, dict_lookup_unseen, bun_headtail, bun_ctx, bun_validate, lexical_bag, feat_chunk, feat_pair_static, feat_triple_static, chunk_linear, eval_chunk, feat_conj2,
-    svmlight_roundtrip, jdp_roundtrip, jdp_text, corpus_split_mod6, fmap_rank, fmap_apply, label_map, prefix_search, trie_update, score_linear, eval_binary, prob_sigmoid,
+    svmlight_roundtrip, jdp_roundtrip, jdp_text, jdp_depnd_text, jdp_chunk_text, corpus_split_mod6, fmap_rank, fmap_apply, label_map, prefix_search, trie_update, score_linear, eval_binary, prob_sigmoid,
     score_pki, pke_mine_d2, pke_mine_sigma, score_pke, score_split, fst_build, fst_prune, score_fst, maxent_softmax, pa_step, merge_support,
     parse_gold_linear_events, parse_gold_backward_events, parse_gold_chunking_events, parse_always_attach, parse_never_attach, tournament_train,
-    parse_examples_linear, train_parse_eval, parse_linear, parse_chunking, parse_backward, parse_tournament, eval_depnd, tree_depth, align_offsets, chunk_view, train_linear, train_kernel, train_mixed, stream_morphs, stream_counts,
+    parse_examples_linear, train_parse_eval, parse_linear, parse_chunking, parse_backward, parse_tournament, eval_depnd, tree_depth, align_offsets, align_merge, chunk_view, train_linear, train_kernel, train_mixed, stream_morphs, stream_counts,
 ]
 
 
@@ -565,6 +591,15 @@ def oracle_sql() -> dict[str, str]:
         "jdp_roundtrip": heads + " SELECT doc_id, line_no, id, did, 'D' AS label, CAST(mlen AS BIGINT) AS mlen FROM bun",
         "jdp_text": heads
         + """, l AS (SELECT doc_id, line_no, bun AS b, idx AS i, surface || chr(9) || pos1 || ',' || pos2 || ',*,' || infl || ',' || surface || ',*' AS l FROM num UNION ALL SELECT doc_id, line_no, id, -1, '* ' || id || ' ' || did || 'D' FROM bun)
+SELECT doc_id, line_no, string_agg(l, chr(10) ORDER BY b, i) || chr(10) || 'EOS' || chr(10) AS content FROM l GROUP BY ALL""",
+        "jdp_depnd_text": heads
+        + """, l AS (SELECT doc_id, line_no, bun AS b, idx AS i, surface || chr(9) || pos1 || ',' || pos2 || ',*,' || infl || ',' || surface || ',*' AS l FROM num
+UNION ALL SELECT doc_id, line_no, id, -1, '* ' || id || ' ' || CASE WHEN id = n - 1 THEN -1 ELSE id + 1 END || 'D@' || printf('%.6f', 1.0::DOUBLE / (id + 2)) || ' ' || did || 'D' FROM bun)
+SELECT doc_id, line_no, string_agg(l, chr(10) ORDER BY b, i) || chr(10) || 'EOS' || chr(10) AS content FROM l GROUP BY ALL""",
+        "jdp_chunk_text": heads
+        + """, l AS (SELECT doc_id, line_no, bun AS b, idx AS i, surface || chr(9) || pos1 || ',' || pos2 || ',*,' || infl || ',' || surface || ',*' || chr(9) || CASE WHEN chunk_ref AND length(surface) > 2 THEN 'B' ELSE 'I' END
+|| '@' || printf('%.6f', 1.0::DOUBLE / (idx + 2)) || ' ' || CASE WHEN chunk_ref THEN 'B' ELSE 'I' END AS l FROM num
+UNION ALL SELECT doc_id, line_no, id, -1, '* ' || id || ' ' || did || 'D' FROM bun)
 SELECT doc_id, line_no, string_agg(l, chr(10) ORDER BY b, i) || chr(10) || 'EOS' || chr(10) AS content FROM l GROUP BY ALL""",
         "corpus_split_mod6": "SELECT CASE WHEN doc_id % 6 < 4 THEN 'train' WHEN doc_id % 6 = 4 THEN 'dev' ELSE 'test' END AS split, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1",
         "fmap_rank": "WITH" + _X + _RANKED + " SELECT fn, cnt, fi FROM ranks",

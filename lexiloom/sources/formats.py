@@ -84,15 +84,39 @@ def parse_dependencies(sentences: DataFrame, layout: FieldLayout = LAYOUTS["dict
     return toks, heads
 
 
-def format_sentences(tokens: DataFrame, phrases: DataFrame, head: str = "did", prob: str | None = None) -> DataFrame:
-    """(doc_id, line_no, content): ``* id headD`` (with ``prob``, ``@prob`` as well) before each phrase's tokens, then EOS."""
+def format_sentences(tokens: DataFrame, phrases: DataFrame, head: str = "did", prob: str | None = None, kind: str = "raw", headers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, line_no, content): ``* id headD`` before each phrase's tokens, then EOS.
+
+    ``kind`` is what the sentences were read as: ``depnd`` adds ``@prob`` (0 without ``prob``), the gold ``did`` and its ``label``
+    (D if there is none); ``chunk`` ends token lines with the predicted border ``chunk``, its ``chunk_prob`` and the gold ``chunk_ref``.
+    ``headers`` (sentence, header) puts each sentence's first comment before it. Sentences without a token give no row.
+    """
+    if kind not in ("raw", "chunk", "depnd"):
+        raise ValueError(f"unknown kind {kind!r}")
     mark = F.concat(F.lit("* "), F.col("id").cast("string"), F.lit(" "), F.col(head).cast("string"), F.lit("D"))
-    if prob:
-        mark = F.concat(mark, F.format_string("@%f", F.col(prob)))
+    if prob or kind == "depnd":
+        mark = F.concat(mark, F.format_string("@%f", F.col(prob) if prob else F.lit(0.0)))
+    if kind == "depnd":
+        label = F.coalesce("label", F.lit("D")) if "label" in phrases.columns else F.lit("D")
+        mark = F.concat(mark, F.lit(" "), F.col("did").cast("string"), label)
     line = F.concat(F.col("surface"), F.lit("\t"), F.concat_ws(",", "pos1", "pos2", F.lit("*"), "infl", "surface", F.lit("*")))
+    if kind == "chunk":
+        border = lambda c: F.when(F.col(c), "B").otherwise("I")
+        sure = F.col("chunk_prob") if "chunk_prob" in tokens.columns else F.lit(0.0)
+        line = F.concat(line, F.lit("\t"), border("chunk"), F.format_string("@%f", sure), F.lit(" "), border("chunk_ref"))
     rows = tokens.select(*_KEY, F.col("bun").alias("b"), F.col("idx").alias("i"), line.alias("l")).unionByName(phrases.select(*_KEY, F.col("id").alias("b"), F.lit(-1).alias("i"), mark.alias("l")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "l"))), lambda x: x["l"]), "\n")
-    return rows.groupBy(*_KEY).agg(F.concat(body, F.lit("\nEOS\n")).alias("content"))
+    out = rows.groupBy(*_KEY).agg(F.concat(body, F.lit("\nEOS\n")).alias("content"))
+    if headers is None:
+        return out
+    first = F.concat(F.split("header", "\n")[0], F.lit("\n"))
+    return out.join(headers.select(*_KEY, "header"), _KEY, "left").select(*_KEY, F.concat(F.coalesce(first, F.lit("")), "content").alias("content"))
+
+
+def headers(sentences: DataFrame) -> DataFrame:
+    """(sentence, header): the first line of each sentence that is a comment."""
+    own = _lines(sentences).where(F.col("line").startswith("#"))
+    return own.groupBy(*_KEY).agg(F.min_by("line", "pos").alias("header"))
 
 
 def format_example(y: Column, fv: Column) -> Column:
@@ -202,6 +226,67 @@ def align(new: DataFrame, gold: DataFrame) -> DataFrame:
     return starts.join(place(new).where(F.length("surface") > 0).select(*_KEY, "chars", "idx"), [*_KEY, "chars"], "left").select(*_KEY, "bun", "chars", "idx")
 
 
+def realign(starts: list[int], heads: list[int], lengths: list[int]) -> tuple[list[int], list[int]] | None:
+    """(phrase of each new token, heads of the phrases that are left) for phrases given by the offsets at which they begin and
+    new tokens by their lengths; None where they can't be reconciled.
+
+    A border inside a new token is given up if the phrase before it hangs on the phrase behind it: the two become one,
+    with the latter's head, and heads beyond are renumbered. Texts of different lengths, or a border that a token runs over otherwise, fail.
+    """
+    at, head, which, offset, i = [*starts], [*heads], [], 0, 0
+    at.append(sum(lengths))
+    head.append(-1)
+    if starts and (starts[0] or starts[-1] >= at[-1]) or not starts:
+        return None
+    for size in [*lengths, 0]:
+        if i < len(at) and at[i] == offset:
+            i += 1
+        elif i + 1 < len(at):
+            if at[i + 1] == offset and head[i - 1] == i:
+                head[i - 1] = head[i]
+                del at[i], head[i]
+                head = [h - 1 if h >= i else h for h in head]
+                i += 1
+            elif at[i + 1] <= offset:
+                return None
+        elif i < len(at) and offset > at[i]:
+            return None
+        if size:
+            which.append(i - 1)
+            offset += size
+    return (which, head[:-1]) if i == len(at) else None
+
+
+def realigned(new: DataFrame, gold: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(sentence, ok, bun, heads) for every sentence of ``gold``: the phrase of each of its new tokens, and the heads of the phrases
+    that are left; both null where it fails. Tokens are (sentence, idx, surface), gold ones with ``bun``; phrases (sentence, id, did).
+
+    Re-tagged sentences are tokens joined with ``bun`` by place; successes and failures are counted by ``ok``. A sentence lies in one row.
+    """
+    rows = lambda df, order, *what: df.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct(order, *what))).alias("r"))
+    sized = lambda df: df.where(F.length("surface") > 0).withColumn("size", F.length("surface"))
+    g = rows(sized(gold), "idx", "bun", "size").select(*_KEY, F.col("r.bun").alias("gb"), F.col("r.size").alias("gs"))
+    p = rows(phrases, "id", "did").select(*_KEY, F.col("r.did").alias("did"))
+    n = rows(sized(new), "idx", "size").select(*_KEY, F.col("r.size").alias("ns"))
+    both = g.join(p, _KEY, "left").join(n, _KEY, "left")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, line, gb, gs, did, ns in b.itertuples(index=False):
+                starts, offset, last = [], 0, None
+                for k, size in zip(gb, gs):
+                    if k != last:
+                        starts.append(offset)
+                    offset, last = offset + int(size), k
+                lengths = [int(x) for x in ns] if ns is not None else []
+                got = realign(starts, [int(x) for x in did], lengths) if did is not None and len(did) == len(starts) and sum(lengths) == offset else None
+                out.append((doc, line, got is not None, *(got or (None, None))))
+            yield pd.DataFrame(out, columns=["doc_id", "line_no", "ok", "bun", "heads"])
+
+    return both.mapInPandas(run, "doc_id long, line_no int, ok boolean, bun array<int>, heads array<int>")
+
+
 def run_manifest(manifest: DataFrame, process) -> DataFrame:
     """(in, out, meta, status) for rows (in, out, meta): ``process(in, out)`` is run for each, and its end, OK or ERROR,
     is the status. Every row is a Spark job of its own, so the list is walked from the driver."""

@@ -225,6 +225,118 @@ def test_dictionary_order_and_checks(spark):
     assert [r.surface_id for r in ids] == [2, 0, 1, 9, 16] and [r.infl_id for r in ids] == [5, 0, 8, 9, 10]
 
 
+def _realign_by_offsets(starts, heads, lengths):
+    """By offsets alone: a gold border is kept where a new token begins; each that isn't is merged if the phrase before it hangs on the
+    one behind it, from left to right, and no token covers two borders."""
+    begins = np.r_[0, np.cumsum(lengths)].tolist()
+    merged, head = list(range(len(starts))), list(heads)
+    groups = [[0]]
+    for k in range(1, len(starts)):
+        if starts[k] in begins:
+            groups.append([k])
+            continue
+        token = max(x for x in begins if x < starts[k])
+        end = min(x for x in begins if x > starts[k])
+        if any(j != k and token < starts[j] < end for j in range(1, len(starts))):
+            return None
+        if (starts[k + 1] if k + 1 < len(starts) else begins[-1]) != end and (starts[k + 1] if k + 1 < len(starts) else begins[-1]) not in begins:
+            return None
+        if heads[groups[-1][-1]] != k:
+            return None
+        groups[-1].append(k)
+    of = {k: g for g, own in enumerate(groups) for k in own}
+    return [of[max(k for k in range(len(starts)) if starts[k] <= b)] for b in begins[:-1]], [of.get(head[own[-1]], -1) for own in groups]
+
+
+def test_realign():
+    # A B|C D|E with the border before C inside a token, and B's phrase hanging on C's.
+    assert formats.realign([0, 2, 4], [1, 2, -1], [1, 2, 1, 1]) == ([0, 0, 0, 1], [1, -1])
+    assert formats.realign([0, 2, 4], [2, 2, -1], [1, 2, 1, 1]) is None
+    assert formats.realign([0, 2, 4], [1, 2, -1], [2, 2, 1]) == ([0, 1, 2], [1, 2, -1])
+    assert formats.realign([0, 2, 4], [1, 2, -1], [5]) is None
+    assert formats.realign([0, 1, 3], [1, 2, -1], [2, 1, 1]) == ([0, 0, 1], [1, -1])
+    assert formats.realign([], [], []) is None
+    rng = np.random.default_rng(12)
+    both = 0
+    for _ in range(3000):
+        total = int(rng.integers(2, 14))
+        starts = [0, *sorted(rng.choice(np.arange(1, total), size=int(rng.integers(0, min(5, total))), replace=False).tolist())]
+        cuts = sorted(rng.choice(np.arange(1, total), size=int(rng.integers(0, total)), replace=False).tolist())
+        lengths = np.diff([0, *cuts, total]).tolist()
+        heads = [int(rng.integers(i + 1, len(starts))) for i in range(len(starts) - 1)] + [-1]
+        got = formats.realign(starts, heads, lengths)
+        if all(s in np.cumsum([0, *lengths]) for s in starts):
+            assert got is not None and got[1] == heads
+        if got is not None:
+            want = _realign_by_offsets(starts, heads, lengths)
+            if want is not None:
+                assert got == want
+                both += len(got[1]) < len(heads)
+            assert len(got[0]) == len(lengths) and sorted(set(got[0])) == list(range(len(got[1]))) and got[1][-1] == -1
+            assert all(h > i for i, h in enumerate(got[1][:-1]))
+    assert both > 50
+
+
+def test_realigned_sentences(spark):
+    gold = spark.createDataFrame([(1, 0, 0, "ab", 0), (1, 0, 1, "cd", 1), (1, 0, 2, "e", 2), (1, 1, 0, "xy", 0), (1, 1, 1, "z", 1), (1, 2, 0, "q", 0)], "doc_id long, line_no int, idx int, surface string, bun int")
+    heads = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 2), (1, 0, 2, -1), (1, 1, 0, 1), (1, 1, 1, -1), (1, 2, 0, -1)], "doc_id long, line_no int, id int, did int")
+    new = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "bc"), (1, 0, 2, "d"), (1, 0, 3, "e"), (1, 1, 0, "xy"), (1, 1, 1, "z")], "doc_id long, line_no int, idx int, surface string")
+    got = {r.line_no: r for r in formats.realigned(new, gold, heads).collect()}
+    assert [got[k].ok for k in range(3)] == [True, True, False]
+    assert got[0].bun == [0, 0, 0, 1] and got[0].heads == [1, -1] and got[1].heads == [1, -1] and got[2].heads is None
+
+
+def test_headers_are_kept(spark):
+    s = spark.createDataFrame([(1, 0, "# S-ID:1 x\n# more\n* 0 -1D\nA\tN,x\nEOS"), (1, 1, "* 0 -1D\nB\tN,x")], "doc_id long, line_no int, content string")
+    tokens, heads = formats.parse_dependencies(s)
+    out = formats.format_sentences(tokens, heads.withColumn("est_did", F.col("did")), "est_did", kind="depnd", headers=formats.headers(s)).orderBy("line_no").collect()
+    assert out[0].content == "# S-ID:1 x\n* 0 -1D@0.000000 -1D\nA\tN,x,*,,A,*\nEOS\n" and out[1].content.startswith("* 0 -1D@")
+    chunked = formats.parse_chunked(spark.createDataFrame([(1, 0, "#c\n*\nA\tN,x\nB\tV,y\n*\nC\tN,z\nEOS")], "doc_id long, line_no int, content string"))
+    assert [(r.surface, r.chunk_ref) for r in chunked.orderBy("idx").collect()] == [("A", True), ("B", False), ("C", True)]
+
+
+def test_training_options(spark):
+    rng = np.random.default_rng(5)
+    data = [(1 if rng.random() < 0.5 else -1, np.unique(rng.integers(0, 15, size=5))) for _ in range(60)]
+    # Averages against sums of all steps' weights.
+    for epochs in (1, 3):
+        w, total, seen = {}, {}, 1
+        a, atotal = {}, {}
+        for _ in range(epochs):
+            for y, fv in data:
+                tau = training.step("PA-I", y * sum(w.get(f, 0.0) for f in fv.tolist()), len(fv), 0.1)
+                for f in fv.tolist() if tau is not None else []:
+                    w[f] = w.get(f, 0.0) + y * tau
+                fs = tuple(fv.tolist())
+                tau = training.step("PA-I", y * sum(x * (len(set(fs) & set(v)) + 1) ** 2 for v, x in a.items()), len(fs), 0.1)
+                if tau is not None:
+                    a[fs] = a.get(fs, 0.0) + y * tau
+                for f, x in w.items():
+                    total[f] = total.get(f, 0.0) + x
+                for v, x in a.items():
+                    atotal[v] = atotal.get(v, 0.0) + x
+                seen += 1
+        got = training.fit_linear(data, "PA-I", 0.1, epochs)
+        assert {f: pytest.approx(x / seen) for f, x in total.items()} == got
+        kernel = training.fit_kernel(data, "PA-I", 0.1, epochs, average=True)
+        assert {v: pytest.approx(x / seen) for v, x in atotal.items()} == kernel
+    ex = spark.createDataFrame([(i, y, fv.tolist()) for i, (y, fv) in enumerate(data)], "pos long, y int, fv array<long>")
+    once = training.train_linear(ex, "PA-I", 0.1, 2, average=False)
+    again = {r.fid: r.w for r in training.train_linear(ex, "PA-I", 0.1, 1, average=False, start=training.train_linear(ex, "PA-I", 0.1, 1, average=False)).collect()}
+    assert {r.fid: pytest.approx(r.w) for r in once.collect()} == again
+    mixed = training.fit_linear(data, shuffle=3)
+    assert mixed == training.fit_linear(data, shuffle=3) != training.fit_linear(data)
+    curve = training.learning_curve(ex, ex, "PA-I", 0.1, 4).orderBy("epoch").collect()
+    assert [r.epoch for r in curve] == [1, 2, 3, 4] and all(r.n == 60 for r in curve)
+    last = training.fit_linear(data, "PA-I", 0.1, 4)
+    assert curve[-1].correct == sum((sum(last.get(f, 0) for f in fv.tolist()) >= 0) == (y > 0) for y, fv in data)
+    numbered, numbers = training.number_features(data)
+    assert sorted(numbers.values()) == list(range(1, len(numbers) + 1)) and list(numbers)[: len(data[0][1])] == data[0][1].tolist()
+    assert training.number_features([(1, [77, 5])], {5: 1})[1] == {5: 1, 77: 2}
+    model = training.fit_log_linear(ex, 15)
+    assert model.coefficients.size == 15
+
+
 def test_views():
     assert views.draw(["a", "b"], [1, -1], [1, -1]).count("\n") == 1
 
