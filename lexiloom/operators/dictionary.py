@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.ranking import bucketed_rank
@@ -79,8 +79,25 @@ def revert_map(examples: DataFrame, ranks: DataFrame, key: str = "ex_id") -> Dat
 
 
 def label_map(df: DataFrame, column: str) -> DataFrame:
-    """(label, id) in order of the labels; labels are few."""
-    return df.select(F.col(column).cast("string").alias("label")).where("label is not null").distinct().withColumn("id", F.dense_rank().over(Window.orderBy("label")) - 1)
+    """(label, id) in order of the labels, ranked within their first characters."""
+    labels = df.select(F.col(column).cast("string").alias("label")).where("label is not null").distinct()
+    return bucketed_rank(labels, [F.substring("label", 1, 2)], [F.col("label")], "id")
+
+
+def strings_of(ids: DataFrame, dictionary: DataFrame, column: str = "id") -> DataFrame:
+    """``ids`` with ``str``: the string of each id, null where the dictionary has none."""
+    return ids.join(dictionary.select(F.col("id").alias(column), "str"), column, "left")
+
+
+def steps_from(prefixes: DataFrame, dictionary: DataFrame, column: str = "prefix") -> DataFrame:
+    """(column, next, strings, ends): every character that leads on from each prefix in the dictionary, how many strings
+    lie behind it, and whether one ends there; a walk through the dictionary is repeated steps."""
+    p = prefixes.select(column).distinct().withColumn("_n", F.length(column))
+    sizes = [r[0] for r in p.select("_n").distinct().orderBy("_n").collect()]
+    heads = dictionary.select("str", F.explode(F.array(*(F.lit(n) for n in sizes)) if sizes else F.array().cast("array<int>")).alias("_n")).where(F.length("str") > F.col("_n"))
+    heads = heads.withColumn(column, F.substring(F.col("str"), F.lit(1), F.col("_n")))
+    met = heads.join(p, [column, "_n"]).withColumn("next", F.substring(F.col("str"), F.col("_n") + 1, F.lit(1)))
+    return met.groupBy(column, "next").agg(F.count("*").alias("strings"), F.max(F.length("str") == F.col("_n") + 1).alias("ends"))
 
 
 def prefixes_of(queries: DataFrame, dictionary: DataFrame, column: str) -> DataFrame:

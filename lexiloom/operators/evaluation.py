@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +49,24 @@ def binary(scored: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
 
 
 def depths(arcs: DataFrame, head: str = "did") -> DataFrame:
-    """(sentence, id, depth): steps from every phrase to its root. Heads lie to the right, so one fold from right to left
+    """(sentence, id, depth): steps from every phrase to its root. Heads lie to the right, so one pass from right to left
     over a sentence's heads gives all depths, whatever the trees' height."""
     rows = arcs.groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("id", F.col(head).alias("h")))).alias("a"))
-    # The array of depths grows to the left: the depth of phrase j is at place j - i - 1 when i comes.
-    fold = F.aggregate(
-        F.reverse("a"), F.array().cast("array<int>"),
-        lambda d, x: F.concat(F.array(F.when(x["h"] < 0, F.lit(0)).otherwise(F.get(d, x["h"] - x["id"] - 1) + 1)), d),
-    )
-    return rows.select(*SENTENCE, F.posexplode(fold).alias("id", "depth"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = b.column("h").flatten().to_pylist()
+            size = b.column("h").value_lengths().to_numpy()
+            depth = np.zeros(len(heads), np.int32)
+            at = np.r_[0, np.cumsum(size)].tolist()
+            for s, e in zip(at[:-1], at[1:]):
+                own = [0] * (e - s)
+                for i in range(e - s - 1, -1, -1):
+                    h = heads[s + i]
+                    own[i] = own[h] + 1 if h > i else 0
+                depth[s:e] = own
+            number = np.arange(len(heads)) - np.repeat(np.array(at[:-1]), size)
+            of = pa.array(np.repeat(np.arange(b.num_rows), size))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in SENTENCE), pa.array(number.astype(np.int32)), pa.array(depth)], names=[*SENTENCE, "id", "depth"])
+
+    return rows.select(*SENTENCE, F.col("a.h").alias("h")).mapInArrow(run, "doc_id long, line_no int, id int, depth int")

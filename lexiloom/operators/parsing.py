@@ -295,6 +295,23 @@ def parse_with(phrases: DataFrame, strategy: str, bases: list[int], margin: Call
     return _sentences(phrases, "did", "bracket", "inner", "ctx", *names).mapInPandas(lambda it: _arcs(it, strategy, scorer), ARCS)
 
 
+def visited(phrases: DataFrame, strategy: str, bases: list[int], margin: Callable[[list[int]], float]) -> DataFrame:
+    """(sentence, event_no, fv): the vectors that parsing with a model looks at, in order."""
+    names = sides_of(template_of(strategy))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.itertuples(index=False):
+                seen: list[list[int]] = []
+                of = VectorScorer([list(getattr(r, c)) for c in names], Whole(r.inner, r.bracket, list(r.ctx)), bases, lambda fv: seen.append(fv) or margin(fv))  # noqa: B023
+                DECODERS[strategy](len(r.did), of)
+                rows += [(r.doc_id, r.line_no, e, fv) for e, fv in enumerate(seen)]
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "event_no", "fv"])
+
+    return _sentences(phrases, "did", "bracket", "inner", "ctx", *names).mapInPandas(run, "doc_id long, line_no int, event_no int, fv array<long>")
+
+
 def whole_weights(weights: DataFrame, size: int, context: int, template: str = "pair") -> list[list[float]]:
     """The weights of the features that belong to a pair as a whole, by their place in the template; for a triple both pairs'."""
     base, width, k = global_base(template, size, context), global_width(context), 1 if template == "pair" else 2

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.expressions import conjunction_cost, kernel_coefficients
+from lexiloom.functions.ranking import bucketed_rank
 from lexiloom.operators.features import combinations
 
 
@@ -91,7 +92,9 @@ def prune_prefixes(table: DataFrame, halvings: int) -> DataFrame:
     best extension is, and the shorter one comes first, so a prefix never stays without those that lead to it."""
     each = table.select("prefix", "cnt", "cost", (F.col("cnt") * F.col("cost")).alias("_v"))
     up = each.select(F.explode(prefixes(F.col("prefix"))).alias("prefix"), "_v").groupBy("prefix").agg(F.max("_v").alias("_best"))
-    return each.join(up, "prefix").orderBy(F.desc("_best"), F.size("prefix"), "prefix").limit(table.count() >> halvings).select("prefix", "cnt", "cost")
+    # Ranked within ranges of worth, so that no task sorts the whole table.
+    ranked = bucketed_rank(each.join(up, "prefix"), [-F.floor(16 * F.log2(F.col("_best") + 1))], [F.desc("_best"), F.size("prefix"), F.col("prefix")], "_rank")
+    return ranked.where(F.col("_rank") < (table.count() >> halvings)).select("prefix", "cnt", "cost")
 
 
 def prefix_scores(table: DataFrame, combos: DataFrame, degree: int) -> DataFrame:

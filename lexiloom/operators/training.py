@@ -108,7 +108,9 @@ def _all(examples: DataFrame) -> DataFrame:
 
 
 def _ordered(t: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
-    t = t.sort_values("pos", kind="stable")
+    # A place may have several parts, which come as one record.
+    place = [tuple(x.values()) if isinstance(x, dict) else x for x in t["pos"]]
+    t = t.iloc[sorted(range(len(t)), key=place.__getitem__)]
     return list(zip(t["y"].astype(int).tolist(), t["fv"]))
 
 

@@ -84,8 +84,10 @@ def bun_ctx(spark: SparkSession, d: str) -> DataFrame:
 def bun_validate(spark: SparkSession, d: str) -> DataFrame:
     """Phrases for each text, and those with a head not to their right."""
     bun = phrases.with_heads(phrases.phrases(phrases.number(_morphs(spark, d))))
-    bad = (F.col("did") >= 0) & (F.col("did") <= F.col("id"))
-    return bun.groupBy("doc_id").agg(F.count("*").alias("phrases"), F.count_if(bad).alias("broken"))
+    # Every fourth phrase's head is put four phrases to the left, so that there is something to find.
+    bun = bun.withColumn("did", F.when(F.col("id") % 4 == 3, F.col("did") - 4).otherwise(F.col("did")))
+    bad = phrases.broken(bun).groupBy("doc_id").agg(F.count("*").alias("broken"))
+    return bun.groupBy("doc_id").agg(F.count("*").alias("phrases")).join(bad, "doc_id", "left").withColumn("broken", F.coalesce("broken", F.lit(0).cast("long")))
 
 
 def lexical_bag(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +195,21 @@ def prefix_search(spark: SparkSession, d: str) -> DataFrame:
     return D.prefixes_of(words, dic, "w").select("w", "str", "length")
 
 
+def trie_traverse(spark: SparkSession, d: str) -> DataFrame:
+    """The characters that lead on from each of the conversations' first letters and pairs of letters in the benchmark's words."""
+    dic = _table(spark, d, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("str")).where("str <> ''").distinct()
+    words = _table(spark, d, "conversations").select(F.explode(F.split("text", " ", -1)).alias("w"))
+    heads = words.select(F.explode(F.array(F.substring("w", 1, 1), F.substring("w", 1, 2))).alias("prefix")).where("prefix <> ''")
+    return D.steps_from(heads, dic).select("prefix", "next", "strings", "ends")
+
+
+def trie_reverse(spark: SparkSession, d: str) -> DataFrame:
+    """The strings of the ids that the examples' features stand for, and how often each is used."""
+    dic = written(D.build(_morphs(spark, d)), "dictionary")
+    used = _examples(spark, d).select(F.explode("fv").alias("fn")).select((F.col("fn") - 1).cast("int").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return D.strings_of(used, dic).select("id", "str", "n")
+
+
 def trie_update(spark: SparkSession, d: str) -> DataFrame:
     """Word counts of the benchmark added to those of the conversations."""
     count = lambda t: _table(spark, d, t).select(F.explode(F.split("text", " ", -1)).alias("str")).where("str <> ''").groupBy("str").agg(F.count("*").alias("n"))
@@ -430,7 +447,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     morphs, dict_build, dict_lookup_unseen, bun_headtail, bun_ctx, bun_validate, lexical_bag, feat_chunk, feat_pair_static, feat_triple_static, chunk_linear, eval_chunk, feat_conj2,
-    svmlight_roundtrip, jdp_roundtrip, jdp_text, jdp_depnd_text, jdp_chunk_text, corpus_split_mod6, fmap_rank, fmap_apply, label_map, prefix_search, trie_update, score_linear, eval_binary, prob_sigmoid,
+    svmlight_roundtrip, jdp_roundtrip, jdp_text, jdp_depnd_text, jdp_chunk_text, corpus_split_mod6, fmap_rank, fmap_apply, label_map, prefix_search, trie_traverse, trie_reverse, trie_update, score_linear, eval_binary, prob_sigmoid,
     score_pki, pke_mine_d2, pke_mine_sigma, score_pke, score_split, fst_build, fst_prune, score_fst, maxent_softmax, pa_step, merge_support,
     parse_gold_linear_events, parse_gold_backward_events, parse_gold_chunking_events, parse_always_attach, parse_never_attach, tournament_train,
     parse_examples_linear, train_parse_eval, parse_linear, parse_chunking, parse_backward, parse_tournament, eval_depnd, tree_depth, align_offsets, align_merge, chunk_view, train_linear, train_kernel, train_mixed, stream_morphs, stream_counts,
@@ -579,7 +596,7 @@ def oracle_sql() -> dict[str, str]:
         "dict_lookup_unseen": "WITH" + _D + f", c AS ({_CONV}) SELECT w, count(*) AS n, CAST(coalesce(any_value(id), any_value(k.n)) AS INTEGER) AS id FROM c LEFT JOIN dict ON str = w, k WHERE w <> '' GROUP BY w",
         "bun_headtail": heads + " SELECT doc_id, line_no, id, mpos, mlen, head, tail, bracket, comma, period, n, did FROM bun",
         "bun_ctx": "WITH" + _I + _B.replace("{t}", "ids") + " SELECT doc_id, line_no, bun AS id, array_to_string(list_sort(list(DISTINCT s)), ' ') AS ctx FROM num WHERE pos1 = 'PARTICLE' GROUP BY ALL",
-        "bun_validate": heads + " SELECT doc_id, count(*) AS phrases, count(*) FILTER (did >= 0 AND did <= id) AS broken FROM bun GROUP BY doc_id",
+        "bun_validate": heads + " SELECT doc_id, count(*) AS phrases, count(*) FILTER (h >= 0 AND h <= id) AS broken FROM (SELECT *, CASE WHEN id % 4 = 3 THEN did - 4 ELSE did END AS h FROM bun) GROUP BY doc_id",
         "lexical_bag": heads + " SELECT doc_id, line_no, bun AS id, array_to_string(list_sort(list(DISTINCT surface)), ' ') AS bag FROM num GROUP BY doc_id, line_no, bun",
         "feat_chunk": "WITH" + _I + f" SELECT doc_id, line_no, idx, array_to_string(list_filter([{', '.join(_CHUNK)}], lambda f: f IS NOT NULL), ' ') AS fv FROM ids, k WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY idx)",
         "feat_pair_static": _PAIR,
@@ -606,6 +623,8 @@ SELECT doc_id, line_no, string_agg(l, chr(10) ORDER BY b, i) || chr(10) || 'EOS'
         "fmap_apply": "WITH" + _X + _RANKED + " SELECT ex_id, array_to_string(list(fi ORDER BY fi), ' ') AS fv FROM exf JOIN ranks USING (fn) WHERE cnt >= 2 GROUP BY ex_id",
         "label_map": "SELECT source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)",
         "prefix_search": f"WITH d AS (SELECT DISTINCT w AS str FROM ({_BENCH}) WHERE w <> ''), q AS (SELECT DISTINCT w FROM ({_CONV}) WHERE w <> '') SELECT w, str, CAST(length(str) AS INTEGER) AS length FROM q JOIN d ON starts_with(w, str)",
+        "trie_traverse": f"WITH d AS (SELECT DISTINCT w AS str FROM ({_BENCH}) WHERE w <> ''), q AS (SELECT DISTINCT unnest([left(w, 1), left(w, 2)]) AS prefix FROM ({_CONV}) WHERE w <> '') SELECT prefix, substring(str, length(prefix) + 1, 1) AS next, count(*) AS strings, bool_or(length(str) = length(prefix) + 1) AS ends FROM q JOIN d ON starts_with(str, prefix) AND length(str) > length(prefix) GROUP BY ALL",
+        "trie_reverse": "WITH" + _X + " SELECT CAST(fn - 1 AS INTEGER) AS id, str, count(*) AS n FROM exf JOIN dict ON dict.id = fn - 1 GROUP BY ALL",
         "trie_update": f"SELECT w AS str, count(*) AS n FROM ({_CONV} UNION ALL {_BENCH}) WHERE w <> '' GROUP BY w",
         "score_linear": _SCORED + " SELECT ex_id, score FROM sc",
         "eval_binary": _SCORED
@@ -634,6 +653,11 @@ SELECT array_to_string(fv, ' ') AS fv, CAST(sum(alpha) AS BIGINT) AS alpha FROM
         + """, e AS (SELECT doc_id, line_no, id + 1 AS j, id AS i, CASE WHEN did = id + 1 THEN 1 ELSE -1 END AS y, n, max(id) FILTER (did > id + 1 AND did = n - 1) OVER (PARTITION BY doc_id, line_no ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS waits FROM bun WHERE id < n - 2),
 ev AS (SELECT doc_id, line_no, j, i, y, 0 AS o FROM e UNION ALL SELECT doc_id, line_no, j, waits, -1, 1 FROM e WHERE y = 1 AND waits IS NOT NULL)
 SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY j, o) - 1 AS INTEGER) AS event_no, i, j, CAST(y AS INTEGER) AS y FROM ev""",
+        # Right of a phrase, its candidates are the run of phrases that hang on the next one, then the last phrase.
+        "parse_gold_backward_events": heads
+        + """, r AS (SELECT doc_id, line_no, id AS i, did, n, least(n - 2, coalesce(min(CASE WHEN did = n - 1 THEN id END) OVER (PARTITION BY doc_id, line_no ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n - 2)) AS m FROM bun),
+e AS (SELECT doc_id, line_no, i, did, unnest(list_append(range(i + 1, greatest(m, i) + 1), n - 1)) AS j FROM r WHERE i < n - 1)
+SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY i DESC, j) - 1 AS INTEGER) AS event_no, i, CAST(j AS INTEGER) AS j, CASE WHEN j = did THEN 1 ELSE -1 END AS y FROM e""",
         "tournament_train": heads
         + """, t AS (SELECT doc_id, line_no, CAST(id AS HUGEINT) AS i, CAST(did AS HUGEINT) AS h, CAST(n AS HUGEINT) AS n FROM bun WHERE id < n - 2),
 c AS (SELECT doc_id, line_no, h - i - 1 AS up, n - 1 - h AS down, (i + h) * (h - i - 1) // 2 AS ju, h * (h - i - 1) AS ku, h * (n - 1 - h) AS jd, (h + n) * (n - 1 - h) // 2 AS kd FROM t)

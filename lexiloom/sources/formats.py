@@ -162,6 +162,23 @@ def read_linear_model(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "fid long, w double")
 
 
+def write_linear_model(weights: DataFrame, path: str) -> None:
+    """A dense file of raw little-endian doubles, by feature number from 0; as long as the largest number, so written by the driver
+    from sorted partitions, one after the other."""
+    import pyarrow.fs as pafs
+
+    fs, where = pafs.FileSystem.from_uri(path)
+    n = 0
+    with fs.open_output_stream(where) as out:
+        for r in weights.groupBy("fid").agg(F.sum("w").alias("w")).orderBy("fid").toLocalIterator():
+            while n < r["fid"]:
+                gap = min(r["fid"] - n, 1 << 16)
+                out.write(bytes(8 * gap))
+                n += gap
+            out.write(struct.pack("<d", r["w"]))
+            n += 1
+
+
 def parse_kernel_model(lines: DataFrame, column: str = "value") -> tuple[dict[str, float], DataFrame]:
     """(parameters d, s, r, b; support vectors (alpha, fv)) of a text model. Its header is a few lines."""
     head = lines.where(F.col(column).contains("#"))
