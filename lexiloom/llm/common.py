@@ -58,9 +58,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def checked_broadcast(df: DataFrame, rows: int, most: int = 2_000_000) -> DataFrame:
-    """A broadcast hint only for a side whose counted rows are few; otherwise Spark picks a shuffled join."""
-    return F.broadcast(df) if rows <= most else df
+#: Bytes of the fixed-width types; rows of any other type have no bound, and aren't broadcast.
+_WIDTH = {"boolean": 8, "int": 8, "bigint": 8, "double": 8}
+
+
+def checked_broadcast(df: DataFrame, rows: int, most: int = 64 << 20) -> DataFrame:
+    """A broadcast hint only for a side of fixed-width columns whose counted rows take at most ``most`` bytes; otherwise
+    Spark picks a shuffled join."""
+    widths = [_WIDTH.get(kind) for _, kind in df.dtypes]
+    return F.broadcast(df) if None not in widths and rows * (16 + sum(widths)) <= most else df
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -159,6 +165,34 @@ def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets, "left")
 
 
+def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) with j from first[i] up, count[i] of them."""
+    i = np.repeat(np.arange(len(count)), count)
+    ends = np.cumsum(count)
+    return i, np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - count, count) + first[i]
+
+
+def group_ends(*keys: np.ndarray) -> np.ndarray:
+    """The end of each element's run of equal keys."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    head = np.flatnonzero(new)
+    return np.repeat(np.r_[head[1:], n], np.diff(np.r_[head, n]))
+
+
+def cuts(count: np.ndarray, most: int):
+    """Stretches of elements whose counts add up to about ``most``."""
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over the edges (a, b), by alternating large and small stars.
 
@@ -190,31 +224,23 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(os.environ.get("LEXILOOM_TOKENIZERS", "/opt/tokenizers"), name)
 
 
-def runs(batches, keys: list[str], most: int = 0):
-    """Tables of the rows that share all ``keys``, of batches sorted by them; a run may span batches.
-
-    With ``most``, a longer run comes in consecutive tables of about so many rows.
-    """
-    held: list[pa.RecordBatch] = []
-    last = None
+def whole_runs(batches, keys: list[str]):
+    """Record batches, sorted by ``keys``, regrouped into tables of whole runs: rows that share all keys stay together."""
+    held = None
     for b in batches:
-        if not b.num_rows:
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        n = t.num_rows
+        if not n:
             continue
-        parts = []
-        for k in keys:
-            c = b.column(k)
-            x = c.fill_null(-1).to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else np.array(c.to_pylist(), object)
-            parts.append(x)
-        change = np.zeros(b.num_rows, bool)
-        for x in parts:
-            change[1:] |= x[1:] != x[:-1]
-        cut = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-        for s, e in zip(cut[:-1], cut[1:]):
-            key = tuple(x[s] for x in parts)
-            if held and (key != last or most and sum(h.num_rows for h in held) >= most):
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(b.slice(s, e - s))
-    if held:
-        yield pa.Table.from_batches(held)
+        last = [t.column(k)[n - 1] for k in keys]
+        same = np.ones(n, bool)
+        for k, v in zip(keys, last):
+            same &= pc.equal(t.column(k), v).to_numpy(zero_copy_only=False)
+        start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if start:
+            yield t.slice(0, start)
+        held = t.slice(start)
+    if held is not None and held.num_rows:
+        yield held
