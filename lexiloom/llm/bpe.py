@@ -6,8 +6,9 @@ one step merges all occurrences of a rank at once, then the pairs to the left an
 their old lists and enter new ones. Every text's ids are gathered from its pre-tokens' ids. Decoding gathers the
 ids' bytes. Both are exact: ids equal those of encoding every pre-token alone, lowest rank and leftmost first.
 
-Defined results: null gives null, empty text an empty list; repeated rows give their ids again; extra columns
-pass, and a result column whose name is taken gets a "_". Decoding null gives null; an id that the vocabulary
+Defined results: null gives null, empty text an empty list; repeated rows give their ids again; very long
+texts are encoded whole. Encoding gives the id and the tokens alone; decoding keeps all columns, and names its text ``text_`` where
+``text`` is taken. Decoding null gives null; an id that the vocabulary
 lacks is an error. An empty table gives no rows.
 """
 

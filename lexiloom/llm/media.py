@@ -10,7 +10,8 @@ that owns all its chunks is rebuilt from its own bytes, which meet its list. For
 from their owners, joined by place and put in order.
 
 Defined results: a null payload has null digest, no chunks and null ``verified``; an empty payload has no chunk and verifies. Equal payloads share one list.
-Rows keep null and repeated ids. Extra columns are ignored. An empty table gives no rows.
+Rows keep null and repeated ids. A very long payload is cut and rebuilt
+whole. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,16 +77,17 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["media", "seq", "at", "length", "digest"])
 
 
-def _payloads(rows: DataFrame, column: str) -> DataFrame:
+def _payloads(rows: DataFrame, column: str, id_column: str | None = None) -> DataFrame:
+    """(id, payload, media): only these columns, so that no other one's name matters."""
     payload = F.col(column) if dict(rows.dtypes)[column] == "binary" else F.encode(column, "utf-8")
-    return rows.select("*", payload.alias("_payload"), F.unhex(F.sha2(payload, 256)).alias("_media"))
+    return rows.select(*([F.col(id_column).alias("id")] if id_column else []), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("media"))
 
 
 def chunk_lists(rows: DataFrame, column: str = "html") -> DataFrame:
     """(media, seq, at, length, digest, owner, owner_at): every distinct payload's ordered chunks and their owners."""
-    own = _payloads(rows, column).where("_payload is not null")
+    own = _payloads(rows, column).where("payload is not null")
     # Equal payloads give equal rows, which meet here; bytes stay where they are.
-    cut = own.select(F.col("_media").alias("media"), F.col("_payload").alias("payload")).mapInArrow(_chunked, CHUNKS)
+    cut = own.mapInArrow(_chunked, CHUNKS)
     chunks = C.materialize(cut.dropDuplicates(["media", "seq"]), "chunks")
     owners = chunks.groupBy("digest").agg(F.min(F.struct("media", "at")).alias("o"))
     return chunks.join(owners, "digest").select("media", "seq", "at", "length", "digest", F.col("o.media").alias("owner"), F.col("o.at").alias("owner_at"))
@@ -137,7 +139,7 @@ def _rebuilt(rows: DataFrame, each: DataFrame, column: str, keep: bool) -> DataF
     own = each.where("not foreign").select("media", "chunks")
     wanted = each.where("foreign").select("media", F.inline("chunks"))
     cuts = wanted.groupBy(F.col("owner").alias("media")).agg(F.collect_set(F.struct("owner_at", "length")).alias("cuts"))
-    payloads = _payloads(rows, column).where("_payload is not null").select(F.col("_media").alias("media"), F.col("_payload").alias("payload"))
+    payloads = _payloads(rows, column).where("payload is not null")
     # The only step that moves payloads: each meets its own list and what others need of it.
     met = payloads.join(own.join(cuts, "media", "full"), "media").select("media", "payload", "chunks", "cuts")
     got = C.materialize(met.mapInArrow(lambda it: _cut_out(it, keep), "media binary, at long, length int, bytes binary, verified boolean"), "cut")
@@ -157,7 +159,7 @@ def deduplicated(rows: DataFrame, id_column: str = "page_id", column: str = "htm
     each = by_media(chunk_lists(rows, column))
     ok = _rebuilt(rows, each, column, False).select("media", "verified")
     media = each.join(ok, "media", "left").select("media", F.col("chunks").alias("c"), "verified")
-    mine = _payloads(rows, column).select(F.col(id_column).alias("id"), F.col("_media").alias("media"), F.length("_payload").cast("long").alias("n_bytes"))
+    mine = _payloads(rows, column, id_column).select("id", "media", F.length("payload").cast("long").alias("n_bytes"))
     out = mine.join(media, "media", "left")
     none = F.when(F.col("media").isNotNull(), 0)
     chunks = F.transform("c", lambda x: F.struct(F.lower(F.hex(x["digest"])).alias("digest"), x["length"].alias("length"), F.lower(F.hex(x["owner"])).alias("owner")))

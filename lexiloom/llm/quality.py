@@ -4,8 +4,8 @@ A text is cut into words (runs of letters and digits) and symbol runs; a word eq
 (or before that) becomes one shared "repeat" word. Every unigram and bigram is hashed into ``2**BITS`` features, whose values
 are their shares of the text's n-grams. Scoring is one sparse dot product a text, taken over whole texts.
 
-Defined results: a null, empty or blank text has no n-gram and scores the bias alone; it is kept, as nothing
-speaks against it. Ties with the threshold are kept. Repeated rows are scored each. An empty table gives no rows.
+Defined results: a null, empty or blank text has no n-gram; it scores 1 and is kept, as nothing
+speaks against it. Very long texts are scored whole. Ties with the threshold are kept. Repeated rows are scored each. An empty table gives no rows.
 Extra columns pass through; if an input column has the name of a result column, the result's gets a "_".
 Labels that are null are left out; without labelled rows of both kinds the model keeps everything.
 """
