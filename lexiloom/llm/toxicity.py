@@ -4,7 +4,7 @@ Instances are fragments: words between white space, with the blank before them;
 ("x y z") are joined to one. The kernel counts common subsequences of three symbols, each occurrence weighing
 ``DECAY ** span`` for spans up to ``SPAN``, so gaps and inserted characters lower a match instead of losing it; it is
 normalised by the fragments' lengths. A Nyström map over landmark fragments gives features for a linear
-support vector machine with hinge loss; as the map is linear in subsequence counts, the trained machine collapses
+support vector machine with squared hinge loss, by Newton steps; as the map is linear in subsequence counts, the trained machine collapses
 to one weight per subsequence, and scoring a text is a sum of table look-ups at every byte: no prefix, no cap.
 
 Labels are given for texts (their sentences share it), while an insult is one fragment among many clean ones.
@@ -13,7 +13,7 @@ sample texts hold, significance being taken anew over the texts that no piece is
 refitted on each toxic text's best fragments, at least one a text. A text is rejected if any of its
 fragments scores above the threshold, which lies between the clean sample's and the witnesses' scores.
 
-Defined results: null, empty or blank texts score -1 and are kept; a score equal to the threshold is kept; repeated
+Defined results: null, empty or blank texts score -1 and are kept; a score equal to the threshold is kept; very long texts are scored whole; repeated
 rows are scored each; an empty table gives no rows; extra columns pass, and a result column whose name is taken gets
 a "_". Null labels are left out; without toxic labelled rows the model keeps everything.
 """
@@ -34,6 +34,9 @@ from lexiloom.llm import common as C
 #: Labelled texts that training takes at most of either kind, those with the least hash of their id.
 TRAIN_ROWS = 1200
 LANDMARKS = 160
+#: Bounds of training beside TRAIN_ROWS, of distinct fragments: the clean sample's commonest and others that stand for it, those that score
+#: highest and join it each time, and the witnesses whose disguises are added. They shape the model alone; scoring has no bound.
+COMMON, CLEAN, HARDEST, DISGUISED = 40, 12_000, 1000, 24
 SPAN, DECAY = 6, 0.75
 #: Offsets of the second and third symbol; the weight of an occurrence depends on its span.
 PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -145,10 +148,10 @@ def kernel(items: list[bytes], landmarks: list[bytes]) -> np.ndarray:
         hit = used[k] == c
         order = np.argsort(r[hit], kind="stable")
         r, k, v = r[hit][order], k[hit][order], v[hit][order]
-        for s in range(0, len(r), 200_000):
-            part_r = r[s : s + 200_000]
+        for s in range(0, len(r), 20_000):
+            part_r = r[s : s + 20_000]
             first = np.flatnonzero(np.r_[True, part_r[1:] != part_r[:-1]])
-            out[lo + part_r[first]] += np.add.reduceat(dense[k[s : s + 200_000]] * v[s : s + 200_000, None], first, axis=0)
+            out[lo + part_r[first]] += np.add.reduceat(dense[k[s : s + 20_000]] * v[s : s + 20_000, None], first, axis=0)
     return out
 
 
@@ -208,9 +211,9 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
         return {p for i in range(len(g) - 4) if (p := g[i : i + 5]) in whole} | {p for p in short if p in g}
 
     seeds = {f for s, t in zip(sets, toxic) if t for f in s if f not in good and pieces_in(f)}
-    many = [f for f, _ in good.most_common(40)]
+    many = [f for f, _ in good.most_common(COMMON)]
     spread = sorted(good, key=lambda f: int.from_bytes(f[-6:], "big") * 0x9E3779B97F4A7C15 % (1 << 64))
-    clean = list(dict.fromkeys(many + spread[:12000]))
+    clean = list(dict.fromkeys(many + spread[:CLEAN]))
     witnesses = sorted(seeds)
     # Landmarks: the commonest witnesses, greedily those of a new piece first, and clean fragments.
     popular = Counter(f for s, t in zip(sets, toxic) if t for f in s if f in seeds)
@@ -221,8 +224,8 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
             marks.append(f)
             covered |= own
     marks += [f for f, _ in sorted(popular.items(), key=lambda x: (-x[1], x[0])) if f not in set(marks)][: max(0, LANDMARKS // 2 - len(marks))]
-    disguised = [v for f in marks[:24] for v in variants(f)]
-    marks += [v for f in marks[:24] for v in variants(f)[:2]]
+    disguised = [v for f in marks[:DISGUISED] for v in variants(f)]
+    marks += [v for f in marks[:DISGUISED] for v in variants(f)[:2]]
     marks += spread[: LANDMARKS // 4]
     others = [sorted(f for f in s if f not in good) for s, t in zip(sets, toxic) if t]
     bare = [o for o in others if o and not seeds.intersection(o)]
@@ -240,7 +243,7 @@ def fit(bags: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, float,
         # Refit on the fragments of toxic texts above all clean ones, and on the clean fragments that score highest.
         names = list(good)
         hard = _score_list(names, weights, bias)
-        clean = list(dict.fromkeys(clean + [names[i] for i in np.argsort(-hard, kind="stable")[:1000]]))
+        clean = list(dict.fromkeys(clean + [names[i] for i in np.argsort(-hard, kind="stable")[:HARDEST]]))
         marks = list(dict.fromkeys(marks + [names[i] for i in np.argsort(-hard, kind="stable")[: LANDMARKS // 4]]))
         flat = sorted({f for o in others for f in o})
         above = _score_list(flat, weights, bias) > max(0.0, hard.max() + 0.1)
