@@ -84,6 +84,12 @@ def parse_dependencies(sentences: DataFrame, layout: FieldLayout = LAYOUTS["dict
     return toks, heads
 
 
+def _probability(c: Column) -> Column:
+    """``@`` and six digits, as the C library prints them: a true half, which only odd 128ths are, goes to the even digit."""
+    c = c.cast("double")
+    return F.format_string("@%f", F.when(F.abs(c * 128) % 2 == 1, F.bround(c, 6)).otherwise(c))
+
+
 def format_sentences(tokens: DataFrame, phrases: DataFrame, head: str = "did", prob: str | None = None, kind: str = "raw", headers: DataFrame | None = None) -> DataFrame:
     """(doc_id, line_no, content): ``* id headD`` before each phrase's tokens, then EOS.
 
@@ -95,7 +101,7 @@ def format_sentences(tokens: DataFrame, phrases: DataFrame, head: str = "did", p
         raise ValueError(f"unknown kind {kind!r}")
     mark = F.concat(F.lit("* "), F.col("id").cast("string"), F.lit(" "), F.col(head).cast("string"), F.lit("D"))
     if prob or kind == "depnd":
-        mark = F.concat(mark, F.format_string("@%f", F.col(prob) if prob else F.lit(0.0)))
+        mark = F.concat(mark, _probability(F.col(prob) if prob else F.lit(0.0)))
     if kind == "depnd":
         label = F.coalesce("label", F.lit("D")) if "label" in phrases.columns else F.lit("D")
         mark = F.concat(mark, F.lit(" "), F.col("did").cast("string"), label)
@@ -103,7 +109,7 @@ def format_sentences(tokens: DataFrame, phrases: DataFrame, head: str = "did", p
     if kind == "chunk":
         border = lambda c: F.when(F.col(c), "B").otherwise("I")
         sure = F.col("chunk_prob") if "chunk_prob" in tokens.columns else F.lit(0.0)
-        line = F.concat(line, F.lit("\t"), border("chunk"), F.format_string("@%f", sure), F.lit(" "), border("chunk_ref"))
+        line = F.concat(line, F.lit("\t"), border("chunk"), _probability(sure), F.lit(" "), border("chunk_ref"))
     rows = tokens.select(*_KEY, F.col("bun").alias("b"), F.col("idx").alias("i"), line.alias("l")).unionByName(phrases.select(*_KEY, F.col("id").alias("b"), F.lit(-1).alias("i"), mark.alias("l")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "l"))), lambda x: x["l"]), "\n")
     out = rows.groupBy(*_KEY).agg(F.concat(body, F.lit("\nEOS\n")).alias("content"))

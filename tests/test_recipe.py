@@ -38,7 +38,7 @@ def files(tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("strategy", ["linear", "chunking", "backward", "tournament"])
+@pytest.mark.parametrize("strategy", ["linear", "tournament"])
 def test_learn_parse_and_judge(spark, files, strategy):
     given = ["both", "-c", f"{files}/train.txt", "-i", f"{files}/test.txt", "-o", f"{files}/out-{strategy}", "-m", f"{files}/model-{strategy}", "-p", strategy, "-I", "depnd", "--epochs", "6"]
     said = cli.run(spark, cli.arguments(given))
