@@ -45,7 +45,7 @@ N = 2
 THRESHOLD = 0.55
 #: Holders (a power of two) from which a token is class 2; holders from which its count takes part in the order, and the most
 #: tokens whose counts are shipped (the commonest ones).
-FREQUENT, ORDERED, MOST_ORDERED = 32, 4, 1 << 21
+FREQUENT, ORDERED, MOST_ORDERED = 32, 4, 1 << 20
 #: Min-hashes of a set, and how many must name the same centre.
 BINS, VOTES = 4, 2
 #: A text of n tokens has n // EXTEND more weight in its prefix than one shared token needs.
@@ -55,9 +55,9 @@ BLOCK, STAR = 3_000_000, 512
 #: Bits of a token that are counted.
 COUNTED_BITS = 40
 #: Tokens a task counts at a time, index entries a task packs at a time, and entries a range should have.
-COUNTED, PACKED, RANGE = 3_000_000, 1_000_000, 1_000_000
+COUNTED, PACKED, RANGE = 2_000_000, 800_000, 1_000_000
 #: Pairs that a task makes at a time.
-CHUNK = 300_000
+CHUNK = 200_000
 _K = np.uint64(C._MULT)
 
 
