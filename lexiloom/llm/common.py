@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -52,6 +54,24 @@ def materialize(df: DataFrame, what: str = "step") -> DataFrame:
     return out
 
 
+def trimmed(made):
+    """What a worker makes, rows or one table; then freed memory goes back to the system, as workers serve later stages too."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def batches():
+        yield from made
+        trim()
+
+    if isinstance(made, pa.Table):
+        trim()
+        return made
+    return batches()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what ``materialize`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -183,8 +183,8 @@ def counted_tokens(docs: DataFrame, total: int, n: int = N, least: int = ORDERED
     are shipped, so that those stay bounded; which are known changes the cost alone.
     """
     ranges = max(6, -(-total // COUNTED))
-    held = docs.select("text").mapInArrow(lambda it: _held(it, ranges, n), "part int, tokens binary")
-    counted = held.groupBy("part").applyInArrow(lambda t: _often(t, least), "token long, n long")
+    held = docs.select("text").mapInArrow(lambda it: C.trimmed(_held(it, ranges, n)), "part int, tokens binary")
+    counted = held.groupBy("part").applyInArrow(lambda t: C.trimmed(_often(t, least)), "token long, n long")
     top = counted.orderBy(F.desc("n"), "token").limit(MOST_ORDERED).toArrow()
     t, k = (top.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(t)
@@ -430,7 +430,7 @@ class Join:
             raise ValueError("the threshold must be over 0.5, and 1 at most")
         self.n, self.threshold = n, threshold
         self.docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.rows = C.materialize(self.docs.mapInArrow(lambda it: _row_sets(it, n), _ROWS), "sets")
+        self.rows = C.materialize(self.docs.mapInArrow(lambda it: C.trimmed(_row_sets(it, n)), _ROWS), "sets")
         # Ids of several texts can't name a node.
         several = self.rows.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.min("h2").alias("z"), F.max("h2").alias("w")).where("x <> y or z <> w")
         self.several = C.materialize(several.select("doc_id"), "several")
@@ -455,7 +455,7 @@ class Join:
         parts = max(12, -(-wanted.count() // 2000))
         met = text.unionByName(asked).repartition(parts, *cell).sortWithinPartitions(*cell, "kind", "node")
         n = self.n
-        return C.materialize(met.mapInArrow(lambda it: _compare(it, n), _OVERLAPS), "overlaps")
+        return C.materialize(met.mapInArrow(lambda it: C.trimmed(_compare(it, n)), _OVERLAPS), "overlaps")
 
     def _balls(self) -> DataFrame:
         """(node, ball): nodes that belong to another node's ball."""
@@ -484,10 +484,10 @@ class Join:
         notes = C.materialize(notes.distinct(), "notes")
         own = self.docs.join(C.checked_broadcast(notes, notes.count()), "doc_id", "left").where("h1 is null or node is not null")
         own = own.select("text", "h1", "h2", F.coalesce("node", "doc_id").alias("node"), F.coalesce("ball", "doc_id").alias("ball"))
-        packed = own.mapInArrow(lambda it: _index(it, ranges, model, n, threshold, second), "part int, docs binary, keys binary")
+        packed = own.mapInArrow(lambda it: C.trimmed(_index(it, ranges, model, n, threshold, second)), "part int, docs binary, keys binary")
         parts = max(6, ranges // 2)
-        met = packed.groupBy("part").applyInArrow(lambda t: _meetings(t, threshold, parts), _MET)
-        return C.materialize(met.groupBy("part").applyInArrow(_enough, "a long, b long"), "meetings")
+        met = packed.groupBy("part").applyInArrow(lambda t: C.trimmed(_meetings(t, threshold, parts)), _MET)
+        return C.materialize(met.groupBy("part").applyInArrow(lambda t: C.trimmed(_enough(t)), "a long, b long"), "meetings")
 
     def pairs(self) -> DataFrame:
         """(a, b, na, nb, overlap): the joining pairs of nodes of different balls."""

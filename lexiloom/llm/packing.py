@@ -59,7 +59,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int) -> Iterator
 def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MAX_LENGTH, seed: int = 17) -> DataFrame:
     """One row for each piece; no shuffle, as a bucket is a column to write or batch by."""
     path = vocabulary or C.tokenizer_path(VOCABULARY)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _pieces(it, path, most), PIECES)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: C.trimmed(_pieces(it, path, most)), PIECES)
     return own.withColumn("order_key", F.xxhash64("doc_id", "piece", F.lit(seed)))
 
 

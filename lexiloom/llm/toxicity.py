@@ -300,7 +300,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     def learn(t: pa.Table) -> pa.Table:
         rows_ = sorted(zip(t.column("doc_id").to_pylist(), t.column("toxic").to_pylist(), t.column("bag").to_pylist()))
         w, b, threshold = fit([r[2] for r in rows_], [r[1] for r in rows_])
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b], "t": [threshold]})
+        del rows_
+        return C.trimmed(pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b], "t": [threshold]}))
 
     got = sample.mapInArrow(to_bags, "doc_id long, toxic boolean, bag array<binary>").withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "w binary, b double, t double").collect()
     return (np.frombuffer(got[0][0], np.float32), got[0][1], got[0][2]) if got else (np.zeros(1 << 18, np.float32), -1.0, 0.0)
