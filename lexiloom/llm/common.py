@@ -44,11 +44,25 @@ def local_path(path: str) -> str:
     return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:") else path
 
 
-def materialize(df: DataFrame, what: str = "step") -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back: lineage ends, executors may be lost."""
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """A query that ends herein deletes its shuffle files at once, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def materialize(df: DataFrame, what: str = "step", tight: bool = False) -> DataFrame:
+    """Writes the rows as Parquet in the shared folder and reads them back: lineage ends, executors may be lost.
+    ``tight``: in fewer bytes (Zstandard), and without leaving shuffle files."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    with _shuffles_dropped(spark) if tight else contextlib.nullcontext():
+        df.write.parquet(path, compression="zstd" if tight else None)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -73,7 +87,9 @@ def trimmed(made):
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
+    """Deletes what ``materialize`` wrote, if it did, once nothing reads it any more."""
+    if getattr(df, "_scratch", None) is None:
+        return
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

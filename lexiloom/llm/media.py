@@ -7,7 +7,7 @@ the payload of least digest that holds it; a payload's ordered chunk list names
 
 Every payload is rebuilt from its list and hashed again, chunk by chunk and as a whole; that alone sets ``verified``. One
 that owns all its chunks is rebuilt from its own bytes, which meet its list. For one with foreign chunks, pieces are cut
-from their owners, joined by place and put in order.
+from their owners, joined by place and put in order. Payloads are shuffled as Zstandard blocks, each by itself.
 
 Defined results: a null payload has null digest, no chunks and null ``verified``; an empty payload has no chunk and verifies. Equal payloads share one list.
 Rows keep null and repeated ids. A very long payload is cut and rebuilt
@@ -84,19 +84,22 @@ def _payloads(rows: DataFrame, column: str, id_column: str | None = None) -> Dat
 
 
 def chunk_lists(rows: DataFrame, column: str = "html") -> DataFrame:
-    """(media, seq, at, length, digest, owner, owner_at): every distinct payload's ordered chunks and their owners."""
+    """(media, seq, at, length, digest, owner, owner_at): every distinct payload's ordered chunks and their owners. They are
+    joined from a written step, which ``discard`` of the result deletes."""
     own = _payloads(rows, column).where("payload is not null")
     # Equal payloads give equal rows, which meet here; bytes stay where they are.
     cut = own.mapInArrow(_chunked, CHUNKS)
-    chunks = C.materialize(cut.dropDuplicates(["media", "seq"]), "chunks")
+    chunks = C.materialize(cut.dropDuplicates(["media", "seq"]), "chunks", tight=True)
     owners = chunks.groupBy("digest").agg(F.min(F.struct("media", "at")).alias("o"))
-    return chunks.join(owners, "digest").select("media", "seq", "at", "length", "digest", F.col("o.media").alias("owner"), F.col("o.at").alias("owner_at"))
+    out = chunks.join(owners, "digest").select("media", "seq", "at", "length", "digest", F.col("o.media").alias("owner"), F.col("o.at").alias("owner_at"))
+    out._scratch = chunks._scratch
+    return out
 
 
 def by_media(lists: DataFrame) -> DataFrame:
     """(media, chunks, foreign): a row for each payload with its chunks in order; ``foreign`` if any has another owner."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "owner", "owner_at", "length", "digest")))
-    return C.materialize(lists.groupBy("media").agg(ordered.alias("chunks"), F.max(F.col("media") != F.col("owner")).alias("foreign")), "chunk-lists")
+    return C.materialize(lists.groupBy("media").agg(ordered.alias("chunks"), F.max(F.col("media") != F.col("owner")).alias("foreign")), "chunk-lists", tight=True)
 
 
 def _joined(media: bytes, parts: list[bytes | None], digests: list[bytes]) -> bytes | None:
@@ -113,11 +116,21 @@ def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Reco
             yield b.slice(s, rows)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads as compressed blocks with their sizes."""
+    codec = pa.Codec("zstd")
+    for b in _few(batches):
+        payloads = [p.as_buffer() for p in b.column("payload")]
+        yield pa.RecordBatch.from_arrays([b.column("media"), pa.array([p.size for p in payloads], pa.int64()), pa.array([codec.compress(p, asbytes=True) for p in payloads], pa.binary())], names=["media", "size", "packed"])
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     """Payloads that own all their chunks, rebuilt in place (``at`` is null), and the pieces that others need."""
+    codec = pa.Codec("zstd")
     for b in _few(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
-        for media, payload, chunks, cuts in zip(*(b.column(c).to_pylist() for c in ("media", "payload", "chunks", "cuts"))):
+        for media, size, packed, chunks, cuts in zip(*(b.column(c).to_pylist() for c in ("media", "size", "packed", "chunks", "cuts"))):
+            payload = codec.decompress(packed, size, asbytes=True)
             if chunks is not None:
                 whole = _joined(media, [payload[c["owner_at"] : c["owner_at"] + c["length"]] for c in chunks], [c["digest"] for c in chunks])
                 for x, v in zip(out, (media, None, None, whole if keep else None, whole is not None)):
@@ -139,10 +152,10 @@ def _rebuilt(rows: DataFrame, each: DataFrame, column: str, keep: bool) -> DataF
     own = each.where("not foreign").select("media", "chunks")
     wanted = each.where("foreign").select("media", F.inline("chunks"))
     cuts = wanted.groupBy(F.col("owner").alias("media")).agg(F.collect_set(F.struct("owner_at", "length")).alias("cuts"))
-    payloads = _payloads(rows, column).where("payload is not null")
+    payloads = _payloads(rows, column).where("payload is not null").mapInArrow(_packed, "media binary, size long, packed binary")
     # The only step that moves payloads: each meets its own list and what others need of it.
-    met = payloads.join(own.join(cuts, "media", "full"), "media").select("media", "payload", "chunks", "cuts")
-    got = C.materialize(met.mapInArrow(lambda it: _cut_out(it, keep), "media binary, at long, length int, bytes binary, verified boolean"), "cut")
+    met = payloads.join(own.join(cuts, "media", "full"), "media").select("media", "size", "packed", "chunks", "cuts")
+    got = C.materialize(met.mapInArrow(lambda it: _cut_out(it, keep), "media binary, at long, length int, bytes binary, verified boolean"), "cut", tight=True)
     mine = got.where("at is null").dropDuplicates(["media"]).select("media", F.col("bytes").alias("payload"), "verified")
     pieces = got.where("at is not null").select(F.col("media").alias("owner"), F.col("at").alias("owner_at"), "length", "bytes").dropDuplicates(["owner", "owner_at", "length"])
     parts = wanted.join(pieces, ["owner", "owner_at", "length"], "left").groupBy("media").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "bytes"))).alias("parts"))
@@ -156,7 +169,9 @@ def rebuilt(rows: DataFrame, lists: DataFrame, column: str = "html") -> DataFram
 
 def deduplicated(rows: DataFrame, id_column: str = "page_id", column: str = "html") -> DataFrame:
     """One row a payload: its digest, size, ordered chunk list (digest, length, owner's digest), own chunks, verification."""
-    each = by_media(chunk_lists(rows, column))
+    lists = chunk_lists(rows, column)
+    each = by_media(lists)
+    C.discard(lists)
     ok = _rebuilt(rows, each, column, False).select("media", "verified")
     media = each.join(ok, "media", "left").select("media", F.col("chunks").alias("c"), "verified")
     mine = _payloads(rows, column, id_column).select("id", "media", F.length("payload").cast("long").alias("n_bytes"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import itertools
+import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -630,6 +632,58 @@ def test_media_rebuilds_payloads_that_share_nothing(spark, monkeypatch):
     assert {r.page_id: r.verified for r in media.deduplicated(pages).collect()} == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False}
 
 
+def test_media_moves_payloads_packed(spark, monkeypatch):
+    # Base-16 digits: an entropy coder halves them, a search for repeats finds nothing.
+    rng = np.random.default_rng(67)
+    payloads = [bytes(rng.integers(0, 256, size=25_000).astype(np.uint8)).hex().encode() for _ in range(60)]
+    pages = common.materialize(spark.createDataFrame([(i, None, p) for i, p in enumerate(payloads)], "page_id long, url string, html binary"), "pages")
+    made = []
+    monkeypatch.setattr(common, "scratch", lambda spark, what, old=common.scratch: made.append((what, old(spark, what))) or made[-1][1])
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(sc.statusStore().executorList(False)))
+
+    before, broadcast = written(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(broadcast, -1)  # as if the lists were large
+    try:
+        assert media.deduplicated(pages).where("verified").count() == len(payloads)
+    finally:
+        spark.conf.unset(broadcast)
+    assert written() - before < sum(map(len, payloads))
+    # Once lists are written, chunks are read no more.
+    left = {what: os.path.exists(common.local_path(path)) for what, path in made}
+    assert left == {"chunks": False, "chunk-lists": True, "cut": True}
+    # Bytes that can't be packed, none and null.
+    odd = [bytes(rng.integers(0, 256, size=30_000).astype(np.uint8)), b"", None, b"\0" * 100_000, b"\xff", payloads[0][:20_000] + payloads[1]]
+    more = pages.unionAll(spark.createDataFrame([(100 + i, None, p) for i, p in enumerate(odd)], pages.schema))
+    whole = {bytes(r.media): (bytes(r.payload), r.verified) for r in media.rebuilt(more, media.chunk_lists(more)).collect()}
+    assert whole == {hashlib.sha256(p).digest(): (p, True) for p in payloads + odd if p}
+    assert {r.page_id: r.verified for r in media.deduplicated(more).collect()} == {i: i != 102 or None for i in [*range(60), *range(100, 106)]}
+
+
+def test_tight_steps_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f.split("_")[1] for f in (x.getName() for x in (lambda x: [x.apply(i) for i in range(x.size())])(disk.getAllFiles())) if f.startswith("shuffle_")}
+
+    before = shuffles()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    step = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids"))
+    got = common.materialize(step, tight=True)
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(key) == kept
+    assert sorted((r.k, sorted(r.ids)) for r in got.collect()) == [(k, list(range(k, 1000, 7))) for k in range(7)]
+    common.materialize(step)  # the other kind does leave some, else this test sees nothing
+    assert shuffles() - before
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "Hi <|end|> there"), (1, 1, "assistant", "Grüße 😀"), (1, 2, None, None), (1, 3, "assistant", ""), (2, None, "assistant", "a"), (2, 1, "user", "b"), (2, 1, "user", "b"), (None, 0, "user", "x")]
     df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, mask string")
