@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.ranking import bucketed_rank
@@ -34,13 +34,16 @@ def build(morphs: DataFrame, mandatory: tuple[str, ...] = MANDATORY) -> DataFram
 
     Strings that must exist are appended last where the corpus lacks them.
     """
-    seen = first_seen(morphs)
-    spark = morphs.sparkSession
+    return numbered(first_seen(morphs), F.floor(F.expr(f"at div {1 << 62}") / BLOCK), mandatory)
+
+
+def numbered(seen: DataFrame, block: Column, mandatory: tuple[str, ...] = MANDATORY) -> DataFrame:
+    """(str, id, is_ctx) from first occurrences (str, at, field, is_ctx); ``block`` is a coarse prefix of ``at``."""
+    spark = seen.sparkSession
     must = spark.createDataFrame([(s, k) for k, s in enumerate(mandatory)], "str string, field int")
-    lacking = must.join(seen.select("str"), "str", "left_anti").select("str", F.lit(0).cast("decimal(38,0)").alias("at"), "field", F.lit(False).alias("is_ctx"), F.lit(1).alias("late"))
+    lacking = must.join(seen.select("str"), "str", "left_anti").select("str", F.lit(0).cast(seen.schema["at"].dataType).alias("at"), "field", F.lit(False).alias("is_ctx"), F.lit(1).alias("late"))
     flat = seen.withColumn("late", F.lit(0)).unionByName(lacking)
     rest = F.when(F.col("is_ctx"), 0).otherwise(1)
-    block = F.floor(F.expr(f"at div {1 << 62}") / BLOCK)
     ranked = bucketed_rank(flat, [rest, F.col("late"), block], [F.col("at"), F.col("field")], "id")
     return ranked.select("str", "id", "is_ctx")
 
