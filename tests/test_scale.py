@@ -15,6 +15,7 @@ from lexiloom.plans import queries as plans
 IN_PLACE = [
     "feat_pair_static",
     "feat_triple_static",
+    "parse_examples_linear",
 ]
 
 
