@@ -17,6 +17,7 @@ IN_PLACE = [
     "feat_triple_static",
     "parse_examples_linear",
     "parse_linear",
+    "parse_backward",
 ]
 
 
