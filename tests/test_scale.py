@@ -18,6 +18,7 @@ IN_PLACE = [
     "parse_examples_linear",
     "parse_linear",
     "parse_backward",
+    "parse_chunking",
 ]
 
 
