@@ -19,6 +19,7 @@ IN_PLACE = [
     "parse_linear",
     "parse_backward",
     "parse_chunking",
+    "parse_tournament",
 ]
 
 
