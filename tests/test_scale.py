@@ -21,6 +21,7 @@ IN_PLACE = [
     "parse_chunking",
     "parse_tournament",
     "chunk_linear",
+    "feat_chunk",
 ]
 
 
