@@ -25,8 +25,31 @@ def _shared(examples: DataFrame, svs: DataFrame) -> DataFrame:
     return a.join(b, "fid")
 
 
+def _cheaper_by_combinations(examples: DataFrame, svs: DataFrame, degree: int) -> bool:
+    """Whether all vectors have fewer combinations of up to ``degree`` features than examples and support vectors meet in features."""
+    n, made = F.size("fv").cast("double"), F.lit(0.0)
+    part = F.lit(1.0)
+    for k in range(degree):
+        part = part * F.greatest(n - k, F.lit(0.0)) / (k + 1)
+        made = made + part
+    held = lambda df, name: df.select(F.explode("fv").alias("fid")).groupBy("fid").agg(F.count("*").cast("double").alias(name))
+    total = sum(df.agg(F.coalesce(F.sum(made), F.lit(0.0))).first()[0] for df in (examples, svs))
+    return total < (held(examples, "x").join(held(svs, "v"), "fid").agg(F.sum(F.col("x") * F.col("v"))).first()[0] or 0.0)
+
+
 def inverted_index(examples: DataFrame, svs: DataFrame, degree: int, s: int = 1, r: int = 1, b: float = 0) -> DataFrame:
-    """(ex_id, score): the kernel over shared features. Vectors that share none give alpha * r ** d, one constant."""
+    """(ex_id, score): the kernel over shared features. Vectors that share none give alpha * r ** d, one constant.
+
+    Where vectors share so much that nearly all pairs meet, the same sum is taken over their combinations of features, whose number
+    grows with the vectors', not with their square; where features are rare and vectors long, pairs that meet are fewer.
+    """
+    if _cheaper_by_combinations(examples, svs, degree):
+        return expanded(examples, expand(svs, degree, s, r), constant(svs, degree, r, b), degree).select("ex_id", F.col("score").cast("double").alias("score"))
+    return by_pairs(examples, svs, degree, s, r, b)
+
+
+def by_pairs(examples: DataFrame, svs: DataFrame, degree: int, s: int = 1, r: int = 1, b: float = 0) -> DataFrame:
+    """(ex_id, score) from all pairs that share a feature."""
     dots = _shared(examples, svs).groupBy("ex_id", "sv_id").agg(F.count("*").alias("k"), F.first("alpha").alias("alpha"))
     part = F.col("alpha") * (F.pow(F.lit(s) * F.col("k") + r, F.lit(degree)) - r**degree)
     near = dots.groupBy("ex_id").agg(F.sum(part).alias("part"))
@@ -34,12 +57,21 @@ def inverted_index(examples: DataFrame, svs: DataFrame, degree: int, s: int = 1,
     return examples.select("ex_id").join(near, "ex_id", "left").crossJoin(F.broadcast(total)).select("ex_id", (F.coalesce("part", F.lit(0)) + r**degree * F.col("total") - b).alias("score"))
 
 
-def expand(svs: DataFrame, degree: int, s: int = 1, r: int = 1, sigma: float = 0.0) -> DataFrame:
+def _made(fv: str, degree: int, held: list | None) -> Column:
+    """All combinations, or those with a feature that isn't ``held``."""
+    every = combinations(F.array_sort(fv), degree)
+    if held is None:
+        return every
+    common = F.array(*(F.lit(f).cast("long") for f in held)) if held else F.array().cast("array<long>")
+    return F.filter(every, lambda c: F.exists(c, lambda f: ~F.array_contains(common, f.cast("long"))))
+
+
+def expand(svs: DataFrame, degree: int, s: int = 1, r: int = 1, sigma: float = 0.0, beyond: list | None = None) -> DataFrame:
     """(combo, w): the kernel as weights of feature combinations. Combinations are made within each vector, so that
     partial sums are all that is shuffled. With ``sigma``, weights between the signed thresholds drop; those scale
-    with the share of vectors of their sign."""
+    with the share of vectors of their sign. With ``beyond``, only combinations with a feature other than these."""
     coefficient = kernel_coefficients(degree, s, r)
-    all_ = svs.select("alpha", F.explode(combinations(F.array_sort("fv"), degree)).alias("combo"))
+    all_ = svs.select("alpha", F.explode(_made("fv", degree, beyond)).alias("combo"))
     weight = F.element_at(F.array(*(F.lit(c) for c in coefficient[1:])), F.size("combo"))
     out = all_.groupBy("combo").agg(F.sum("alpha").alias("a")).select("combo", (F.col("a") * weight).alias("w"))
     if sigma:
@@ -70,6 +102,12 @@ def split(examples: DataFrame, svs: DataFrame, common: DataFrame, degree: int, s
     """(ex_id, score): the expansion over common features, and for the rest the kernel's increase over them."""
     keep = lambda df, key, *more: df.select(key, *more, F.explode_outer("fv").alias("fid")).join(common.withColumn("_c", F.lit(True)), "fid", "left").groupBy(key, *more).agg(F.array_sort(F.collect_list(F.when(F.col("_c"), F.col("fid")))).alias("fv"))
     first = expanded(keep(examples, "ex_id"), expand(keep(svs, "sv_id", "alpha"), degree, s, r), constant(svs, degree, r, b), degree)
+    if _cheaper_by_combinations(examples, svs, degree):
+        # At most the vectors' mean number of features over the ratio by which these are common.
+        held = [x[0] for x in common.collect()]
+        own = examples.select("ex_id", F.explode(_made("fv", degree, held)).alias("combo")).join(expand(svs, degree, s, r, beyond=held), "combo")
+        more = own.groupBy("ex_id").agg(F.sum("w").cast("double").alias("more"))
+        return first.join(more, "ex_id", "left").select("ex_id", (F.col("score") + F.coalesce("more", F.lit(0))).alias("score"))
     met = _shared(examples, svs).join(common.withColumn("_c", F.lit(1)), "fid", "left")
     dots = met.groupBy("ex_id", "sv_id").agg(F.count("*").alias("k"), F.count("_c").alias("c"), F.first("alpha").alias("alpha")).where("k > c")
     power = lambda c: F.pow(F.lit(s) * F.col(c) + r, F.lit(degree))

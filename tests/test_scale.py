@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
-from lexiloom.operators import decoding, parsing
+from lexiloom.operators import decoding, parsing, scoring
 from lexiloom.plans import queries as plans
 
 #: Queries that go over texts where they lie, or over chunks of them.
@@ -90,3 +90,20 @@ def test_a_long_sentence_is_parsed():
     zero, ctx = np.zeros(n), [(k % 8,) for k in range(n)]
     heads, _ = decoding.decoded("backward", np.array([n]), [zero, zero], zero.astype(int), zero.astype(int), ctx, [[9.0, 0, 0, 0, 0, 0] + [0.0] * 8])
     assert heads.tolist() == [*range(1, n), -1]
+
+
+def _vectors(spark, count, width, share):
+    rng = np.random.default_rng(2)
+    rows = [(k, k, int(rng.choice([-1, 1])), (np.flatnonzero(rng.random(width) < share) + 1).tolist()) for k in range(count)]
+    return spark.createDataFrame(rows, "ex_id long, sv_id long, alpha int, fv array<long>")
+
+
+@pytest.mark.parametrize("name", ["inverted_index", "split"])
+@pytest.mark.parametrize(("count", "width", "share", "pairs"), [(300, 8, 0.5, False), (20, 400, 0.1, True)])
+def test_vectors_that_share_much_are_not_paired(spark, name, count, width, share, pairs):
+    v = _vectors(spark, count, width, share)
+    own = scoring.inverted_index(v, v, 2) if name == "inverted_index" else scoring.split(v, v, scoring.common_features(v, share), 2)
+    assert ("Join Inner, (fid" in own._jdf.queryExecution().optimizedPlan().toString()) == pairs
+    rows = {r.ex_id: (set(r.fv), r.alpha) for r in v.collect()}
+    want = {k: sum(a * (len(fv & other) + 1) ** 2 for other, a in rows.values()) for k, (fv, _) in rows.items()}
+    assert {r.ex_id: r.score for r in own.collect()} == want
