@@ -35,6 +35,7 @@ IN_PLACE = [
     "bun_ctx",
     "trie_reverse",
     "fmap_rank",
+    "fmap_apply",
     "score_linear",
 ]
 
