@@ -37,6 +37,7 @@ IN_PLACE = [
     "fmap_rank",
     "fmap_apply",
     "score_linear",
+    "eval_binary",
 ]
 
 
