@@ -38,6 +38,7 @@ IN_PLACE = [
     "fmap_apply",
     "score_linear",
     "eval_binary",
+    "pa_step",
 ]
 
 
