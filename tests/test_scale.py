@@ -9,7 +9,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql.readwriter import DataFrameWriter
 
-from lexiloom.operators import decoding, parsing, scoring
+from lexiloom.operators import decoding, parsing, scoring, training
+from lexiloom.operators import texts as chunks
 from lexiloom.plans import queries as plans
 
 #: Queries that go over texts where they lie, or over chunks of them.
@@ -123,3 +124,30 @@ def test_vectors_that_share_much_are_not_paired(spark, name, count, width, share
     rows = {r.ex_id: (set(r.fv), r.alpha) for r in v.collect()}
     want = {k: sum(a * (len(fv & other) + 1) ** 2 for other, a in rows.values()) for k, (fv, _) in rows.items()}
     assert {r.ex_id: r.score for r in own.collect()} == want
+
+
+def test_shards_are_spark_s_hash(spark):
+    rng = np.random.default_rng(3)
+    doc, line, event = rng.integers(-(1 << 60), 1 << 60, 200), rng.integers(0, 1 << 20, 200), rng.integers(0, 1 << 20, 200)
+    df = spark.createDataFrame(list(zip(doc.tolist(), line.tolist(), event.tolist())), "a long, b int, c int")
+    want = [r[0] for r in df.selectExpr("pmod(xxhash64(struct(a, b, c)), 8)").collect()]
+    assert chunks.shard_of(doc, line, event, 8).tolist() == want
+
+
+def test_mixed_training_streams_blocks_of_its_shards(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.choice([-1, 1])), sorted(rng.choice(30, 5, replace=False).tolist())) for k in range(200)]
+    ex = spark.createDataFrame(rows, "pos long, y int, fv array<long>")
+    shard = {r.pos: r.s for r in ex.selectExpr("pos", "pmod(xxhash64(pos), 3) AS s").collect()}
+    want: dict[int, float] = {}
+    for _ in range(2):
+        total: dict[int, float] = {}
+        for s in range(3):
+            own = [(y, np.array(fv)) for k, y, fv in rows if shard[k] == s]
+            used = {f for _, fv in own for f in fv.tolist()}
+            for f, w in training.fit_linear(own, "PA-I", 0.1, 1, False, {f: w for f, w in want.items() if f in used}).items():
+                total[f] = total.get(f, 0.0) + w
+        want = {f: w / 3 for f, w in total.items()}
+    monkeypatch.setattr(training, "fit_linear", None)  # no task holds its shard
+    got = {r.fid: r.w for r in training.train_mixed(ex, 3, "PA-I", 0.1, 2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-12 for f in want)
