@@ -151,3 +151,14 @@ def test_mixed_training_streams_blocks_of_its_shards(spark, monkeypatch):
     monkeypatch.setattr(training, "fit_linear", None)  # no task holds its shard
     got = {r.fid: r.w for r in training.train_mixed(ex, 3, "PA-I", 0.1, 2).collect()}
     assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-12 for f in want)
+
+
+@pytest.mark.parametrize("average", [True, False])
+def test_exact_training_streams_blocks(spark, monkeypatch, average):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.choice([-1, 1])), sorted(rng.choice(30, 5, replace=False).tolist())) for k in range(200)]
+    want = training.fit_linear([(y, np.array(fv)) for _, y, fv in rows], "PA-I", 0.1, 3, average)
+    monkeypatch.setattr(training, "fit_linear", None)  # the task doesn't hold all examples
+    ex = spark.createDataFrame(rng.permutation(np.array(rows, dtype=object)).tolist(), "pos long, y int, fv array<long>")
+    got = {r.fid: r.w for r in training.train_linear(ex, "PA-I", 0.1, 3, average).collect()}
+    assert got == want
